@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import table
+from glotmill.llm import toxicity
+from glotmill.llm.common import held_out, table
 from glotmill.llm.exact_dedup import exact_groups
 from glotmill.llm.pii import KINDS, personal_spans
 from glotmill.llm.secrets import RULES, secrets_by_path
+from glotmill.llm.simhash import near_duplicates
 from glotmill.llm.spans import of_kind, spelled
 
+#: Scores from here on are predictions of label 1.
+TOXIC = 0.7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets_by_path(table(spark, sf_dir, "documents"))
@@ -37,5 +54,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secret_scan": op3_secret_scan, "op5_disclosure": op5_disclosure, "op6_exact_dedup": op6_exact_dedup}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
+    "op3_secret_scan": op3_secret_scan,
+    "op5_disclosure": op5_disclosure,
+    "op6_exact_dedup": op6_exact_dedup,
+}
 ORACLES: dict[str, str] = {}
