@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotmill.llm import toxicity
+from glotmill.llm import bpe, chat, packing, token_counts, topk, toxicity
 from glotmill.llm.common import held_out, table
 from glotmill.llm.exact_dedup import exact_groups
 from glotmill.llm.pii import KINDS, personal_spans
@@ -40,6 +40,46 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary(name: str, path: str | None = None) -> str:
+    """Place of a public tokeniser file; another place can be given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+    return path
+
+
+def _definition(name: str) -> str:
+    with open(vocabulary(name), encoding="utf-8") as f:
+        return f.read()
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    entries = bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), entries, PATTERN)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.token_counts(docs, _definition("byte_bpe_50k.json"), PATTERN, ("<|endoftext|>",))
+
+
+def op9_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op10_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(table(spark, sf_dir, "documents"))
     return found.select(
@@ -58,7 +98,12 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_disclosure": op5_disclosure,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_packing": op7_packing,
+    "op8_token_counts": op8_token_counts,
+    "op9_quotation_chat": op9_quotation_chat,
+    "op10_kd_top_k": op10_kd_top_k,
 }
 ORACLES: dict[str, str] = {}
