@@ -49,7 +49,8 @@ def vocabulary(name: str, path: str | None = None) -> str:
     return path
 
 
-def _definition(name: str) -> str:
+def definition(name: str) -> str:
+    """Text of a tokeniser file."""
     with open(vocabulary(name), encoding="utf-8") as f:
         return f.read()
 
@@ -62,14 +63,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _definition("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), definition("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
     docs = table(spark, sf_dir, "documents")
-    return token_counts.token_counts(docs, _definition("byte_bpe_50k.json"), PATTERN, ("<|endoftext|>",))
+    return token_counts.token_counts(docs, definition("byte_bpe_50k.json"), PATTERN, ("<|endoftext|>",))
 
 
 def op9_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ C(64,1) + C(64,2) = 2,080 others within two bits, so links grow with the input,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,3 +106,99 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(smallest, "root").select(F.col("fp").alias("c_fp"), "component_id")
     return rows.join(classes, F.col("fp") == F.col("c_fp")).select(F.col("doc").alias("doc_id"), "fp", "component_id")
+
+
+# Near copies at a given similarity. Word shingles as sets, 256 bits: the expected share of differing bits is the angle
+# between the two sets over pi, so a similarity stands for a number of bits, and 256 of them tell it from chance.
+
+WIDE = 256
+LANES = ["f0", "f1", "f2", "f3"]
+
+
+def bits_at(similarity: float, deviations: float = 1.5) -> int:
+    """Differing bits of 256 up to which a pair counts: what is expected at this Jaccard similarity, and a margin."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.floor(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
+
+
+def wide_fingerprint(text: str | None, size: int = 5) -> bytes:
+    parts = set(shingles(words_of(text), size))
+    if not parts:
+        return bytes(WIDE // 8)
+    joined = b"".join(xxhash.xxh3_128_digest(p, SEED) + xxhash.xxh3_128_digest(p, SEED + 1) for p in parts)
+    return majority(np.frombuffer(joined, dtype=np.uint8).reshape(len(parts), WIDE // 8)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, f0, f1, f2, f3)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.frombuffer(b"".join(wide_fingerprint(t, size) for t in b.column(1).to_pylist()), dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(4)]], names=["doc", *LANES])
+
+    schema = "doc long, " + ", ".join(f"{x} long" for x in LANES)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _banded(nodes: DataFrame, name: str, bands: int, reach: int) -> DataFrame:
+    """(anchor, node column ``name``, lanes): anchors of ``bands`` separate blocks of 23 bits, the band in the anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(golay.LENGTH, dtype=np.int64)
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                lanes = np.stack([part.column(x).to_numpy(zero_copy_only=False) for x in LANES], axis=1)
+                bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1)
+                for band in range(bands):
+                    rows, at = golay.anchors([bits[:, band * golay.LENGTH : (band + 1) * golay.LENGTH] @ weights], reach)
+                    taken = pa.array(rows)
+                    anchors = pa.array(at | band << golay.LENGTH)
+                    yield pa.RecordBatch.from_arrays([anchors, *[part.column(c).take(taken) for c in (name, *LANES)]], names=["anchor", name, *LANES])
+
+    schema = f"anchor long, {name} long, " + ", ".join(f"{x} long" for x in LANES)
+    return nodes.select(name, *LANES).mapInArrow(run, schema)
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 6, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
+
+    Two texts are near copies if their fingerprints differ in at most ``bits_at(similarity)`` of 256 bits and meet at
+    an anchor of some band (radius 3 plus ``reach``). Groups of any size give few rows: first every fingerprint is held
+    against ``centres`` members of each anchor (at most 4,096 x bands x centres rows, a fixed number, broadcast), which
+    already joins large groups; then homes meet replicas, and only pairs from different groups leave the join. Work at
+    an anchor grows with the square of its fingerprints; more input wants longer anchors, at some cost of recall.
+
+    Null ids are in no group. Texts without words share a fingerprint and are one group, as are texts with equal sets
+    of shingles.
+    """
+    limit = bits_at(similarity)
+    rows = cut_lineage(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), size, id_col, text_col))
+    nodes = cut_lineage(rows.groupBy(*LANES).agg(F.min("doc").alias("node")))
+
+    def apart(a: str, b: str):
+        return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in LANES), F.lit(0)) <= limit
+
+    homes = cut_lineage(_banded(nodes, "node", bands, 0))
+    spot = F.struct(F.xxhash64("node").alias("order"), "node", *LANES)
+    few = homes.groupBy("anchor", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(centres)).alias("slot")).agg(F.min(spot).alias("c")).select("anchor", "c.*")
+    copies = _banded(nodes, "node", bands, reach)
+    first = copies.alias("b").join(F.broadcast(few).alias("a"), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") != F.col("b.node")) & apart("a", "b"))
+    links = cut_lineage(first.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    roots = cut_lineage(connected_components(links))
+    marked = cut_lineage(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), *LANES))
+    left, right = _banded(marked, "root", bands, 0).alias("a"), _banded(marked, "root", bands, reach).alias("b")
+    more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & apart("a", "b"))
+    merged = connected_components(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    final = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = final.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("component"))
+    members = rows.join(nodes, LANES).select("doc", "node").join(named, "node").select("doc", "component")
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return members.join(sizes, "component", "left_semi")
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the document with the smallest id stays."""
+    gone = similar_groups(docs, size, similarity, id_col=id_col, text_col=text_col).where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
