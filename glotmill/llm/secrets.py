@@ -3,7 +3,7 @@
 Every version of every file is content-addressed (SHA-256). The ledger holds the (blob, rule, version) triples that were
 scanned already; a run scans each blob that has an unseen triple once, however many paths hold it, and joins the
 findings back to all paths. One text held by a third of all rows therefore costs one scan: map tasks send one row per
-blob, and the join back to paths is a sort-merge join whose hot keys adaptive execution splits.
+blob, and the join back to paths is salted.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from glotmill.llm.spans import SPAN, find_spans
 
 
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -91,5 +94,8 @@ def secrets_by_path(versions: DataFrame, path_col: str = "doc_id", text_col: str
         fresh = fresh.unionByName(ledger.where(current.isin([f"{r.kind}@{r.version}" for r in rules])).select("blob", "rule", "version", "spans"))
     # at most one row per rule and blob; blobs without findings need no row
     found = fresh.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # the few blobs with findings are repeated for each salt, so that the paths of one blob spread over tasks
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     paths = versions.select(F.col(path_col).alias("path"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("blob"))
-    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
+    paths = paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return paths.join(found, ["blob", "salt"], "left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")).alias("spans"))
