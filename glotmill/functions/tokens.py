@@ -60,10 +60,14 @@ def diacritics(text: Column) -> Column:
     return count_of(text, VIET)
 
 
+def is_plain_syllable(word: Column) -> Column:
+    """The syllable rule for lower-case words of a to z."""
+    return word.rlike(SYLLABLE) & F.regexp_extract(word, SYLLABLE, 2).isin(NUCLEI)
+
+
 def is_syllable(token: Column) -> Column:
     """A possible Vietnamese syllable, once diacritics are gone."""
-    t = fold_accents(token)
-    return t.rlike(SYLLABLE) & F.regexp_extract(t, SYLLABLE, 2).isin(NUCLEI)
+    return is_plain_syllable(fold_accents(token))
 
 
 def is_laugh(token: Column) -> Column:

@@ -15,19 +15,20 @@ def is_english_like(token: Column) -> Column:
     return token.rlike("^[A-Za-z]+$") & (F.length(token) > 2) & (low.isin(V1_ENGLISH) | (~low.isin(V1_EXCLUDE) & low.rlike(V1_SUFFIX)))
 
 
-def chinese_tokens(text: Column) -> Column:
-    """Runs of Han, then the label of each pinyin phrase in the folded text, once."""
-    folded = fold_accents(text)
-    phrases = [F.when(folded.rlike(r"(?U)\b" + r"\s*".join(p.split()) + r"\b"), F.lit(p)) for p in V1_PINYIN]
-    return F.concat(T.every(text, T.HAN_RUN), F.array_compact(F.array(*phrases)))
+def chinese_tokens(text: Column, folded: Column) -> Column:
+    """Runs of Han, then the label of each pinyin phrase in the folded text, once. One pass tells whether any is there."""
+    pattern = {p: r"\s*".join(p.split()) for p in V1_PINYIN}
+    found = F.array_compact(F.array(*[F.when(folded.rlike(rf"(?U)\b{r}\b"), F.lit(p)) for p, r in pattern.items()]))
+    some = folded.rlike(rf"(?U)\b(?:{'|'.join(pattern.values())})\b")
+    return F.concat(T.every(text, T.HAN_RUN), F.when(some, found).otherwise(F.expr("cast(array() as array<string>)")))
 
 
 def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the eighteen v1 columns; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lists = df.withColumns(
+    lists = df.withColumn("__folded", fold_accents(text)).withColumns(
         {
-            "__words": T.every(text, T.TOKEN_V1), "__zh": chinese_tokens(text),
+            "__words": T.every(text, T.TOKEN_V1), "__zh": chinese_tokens(text, F.col("__folded")),
             "__other": F.concat(T.every(text, T.HANGUL_RUN), T.every(text, T.KANA_RUN)),
         }
     ).withColumn("__en", F.filter("__words", is_english_like))
@@ -46,4 +47,4 @@ def annotate(df: DataFrame, text_col: str = "text") -> DataFrame:
             "emoji_count": T.count_of(text, T.EMOJI_V1), "url_count": T.count_of(text, T.URL.removeprefix("(?i)")), "mention_count": T.count_of(text, T.MENTION_V1),
             "hashtag_count": T.count_of(text, T.HASHTAG), "is_code_switched": F.size(langs) > 0, "cs_group": group,
         }
-    ).drop("__words", "__zh", "__other", "__en")
+    ).drop("__words", "__zh", "__other", "__en", "__folded")

@@ -20,15 +20,21 @@ COLUMNS = (
 ).split()
 
 
-def classify_token(token: Column, config: DetectorConfig = DetectorConfig()) -> Column:
-    """Vi, en, en_ambiguous, en_guess, teencode, laugh, foreign or other; the first rule that holds decides."""
+def spelled(token: Column) -> Column:
+    """A token with its lower-case form and, where a letter stands three times or more in a row, two shorter spellings."""
     low = F.lower(token)
-    twice, once = shorten_runs(low), collapse_letters(low)
+    long = low.rlike(r"(.)\1\1")
+    return F.struct(token.alias("w"), low.alias("low"), F.when(long, shorten_runs(low)).alias("twice"), F.when(long, collapse_letters(low)).alias("once"))
+
+
+def classify(word: Column, config: DetectorConfig = DetectorConfig()) -> Column:
+    """D8 for a struct from ``spelled``; computing spellings once keeps the decision list to set lookups and short patterns."""
+    token, low, twice, once = word["w"], word["low"], word["twice"], word["once"]
     teen, lexicon = config.teencode_lexicon, config.english_lexicon
     # a run of three or more gives two more spellings to look up; other words only have their own
-    some = lambda test: test(low) | ((twice != low) & (test(twice) | test(once)))
+    some = lambda test: test(low) | F.when(twice.isNotNull(), test(twice) | test(once)).otherwise(False)
     marked = low.isin(teen) if config.strict_teencode else low.isin(teen) | fold_accents(low).isin(teen)
-    shape, known = some(T.is_syllable), some(lambda w: w.isin(lexicon))
+    shape, known = some(T.is_plain_syllable), some(lambda w: w.isin(lexicon))
     return (
         F.when(token.rlike(T.VIET), F.when(marked, "teencode").otherwise("vi"))
         .when(~low.rlike("^[a-z]+$"), "other")
@@ -39,22 +45,27 @@ def classify_token(token: Column, config: DetectorConfig = DetectorConfig()) ->
         .when(known, F.when(shape, "en_ambiguous").otherwise("en"))
         .when(shape, "vi")
         .when(F.length(low) < 3, "other")
-        .when(F.substring(token, 1, 1) != F.lower(F.substring(token, 1, 1)), "foreign")
+        .when(F.substring(token, 1, 1) != F.substring(low, 1, 1), "foreign")
         .otherwise("en_guess")
     )
 
 
+def classify_token(token: Column, config: DetectorConfig = DetectorConfig()) -> Column:
+    """Vi, en, en_ambiguous, en_guess, teencode, laugh, foreign or other; the first rule that holds decides."""
+    return classify(spelled(token), config)
+
+
 def classify_distinct(df: DataFrame, text_col: str = "text", config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """(token, class, n): every distinct word token with its class and frequency."""
     words = df.select(F.explode(T.word_tokens(T.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("token"))
-    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("class", classify_token(F.col("token"), config))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("__w", spelled(F.col("token"))).withColumn("class", classify(F.col("__w"), config)).drop("__w")
 
 
 def annotate(df: DataFrame, text_col: str = "text", config: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Adds the thirty v2 columns; a null text gives zeros, empty strings, ``pure_vi`` and ``none``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lists = df.withColumn("__tokens", T.tokens(text)).withColumn("__words", T.word_tokens(F.col("__tokens")))
-    lists = lists.withColumn("__kinds", F.transform("__words", lambda w: F.struct(w.alias("w"), classify_token(w, config).alias("k"))))
+    lists = lists.withColumn("__kinds", F.transform(F.transform("__words", spelled), lambda x: F.struct(x["w"].alias("w"), classify(x, config).alias("k"))))
     of = lambda kind: F.transform(F.filter("__kinds", lambda x: x["k"] == kind), lambda x: x["w"])
     lists = lists.withColumns({f"__{k}": of(k) for k in ("en", "en_ambiguous", "en_guess", "teencode", "laugh", "foreign")})
     # words of either language count as English beside a sure English word, and stand after the sure ones

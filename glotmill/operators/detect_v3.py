@@ -52,7 +52,7 @@ def checked_type(token: Column) -> Column:
     english = (
         F.when(text.rlike(T.VIET), F.when(upper, "proper_noun"))
         .when(~F.forall(parts, lambda p: p.rlike("^[A-Za-z]+$")), None)
-        .when(F.forall(parts, is_vietnamese_word), F.when(upper & (F.size(parts) >= 2), "proper_noun"))
+        .when(F.forall(parts, lambda p: is_vietnamese_word(p)), F.when(upper & (F.size(parts) >= 2), "proper_noun"))
         .when(F.length(text) > 2, "english")
     )
     common = lambda w: w.isin(COMMON) | fold_accents(w).isin(COMMON)
@@ -121,9 +121,9 @@ def merge(df: DataFrame, features: DataFrame, id_col: str = "id", heavy_min: int
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row with n, the four cells, agreement and Cohen's kappa of two flags."""
     x, y = F.coalesce(F.col(a).cast("boolean"), F.lit(False)), F.coalesce(F.col(b).cast("boolean"), F.lit(False))
-    cells = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
-    po = (F.col("both") + F.col("neither")) / F.col("n")
-    pa, pb = (F.col("both") + F.col("only_a")) / F.col("n"), (F.col("both") + F.col("only_b")) / F.col("n")
+    cells = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(x & y).alias("both_true"), F.count_if(x & ~y).alias("only_a"), F.count_if(~x & y).alias("only_b"), F.count_if(~x & ~y).alias("neither"))
+    po = (F.col("both_true") + F.col("neither")) / F.col("n")
+    pa, pb = (F.col("both_true") + F.col("only_a")) / F.col("n"), (F.col("both_true") + F.col("only_b")) / F.col("n")
     pe = pa * pb + (1 - pa) * (1 - pb)
     return cells.withColumns({"agreement": po, "kappa": F.when(pe < 1, (po - pe) / (1 - pe))})
 

@@ -78,7 +78,7 @@ def by_label(df: DataFrame, label_list: str = "label_list") -> DataFrame:
 
 def top_tokens(df: DataFrame, column: str, k: int = 200, separator: str = r"\s+", lower: bool = False) -> DataFrame:
     """The commonest tokens of a joined-token column; ties by token."""
-    parts = F.transform(F.split(F.col(column), separator), F.trim)
+    parts = F.transform(F.split(F.col(column), separator), lambda t: F.trim(t))
     token = F.explode(F.filter(parts, lambda t: t != ""))
     rows = df.select(token.alias("token"))
     rows = rows.withColumn("token", F.lower("token")) if lower else rows

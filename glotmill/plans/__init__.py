@@ -1,6 +1,5 @@
 """Named queries over the standard tables, each with the SQL that says the same."""
 
-from __future__ import annotations
+from glotmill.plans.reference import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
