@@ -43,7 +43,7 @@ def wide_labels(ids: Column, names: list[str] = LABELS) -> dict[str, Column]:
 
 def split_labels(labels: Column) -> Column:
     """Label strings of a written list."""
-    return F.filter(F.transform(F.split(F.translate(F.coalesce(labels, F.lit("")), X, lambda s: s != "")
+    return F.filter(F.transform(F.split(F.translate(F.coalesce(labels, F.lit("")), "[]'\"", ""), ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def encode_labels(labels: Column, names: list[str] = LABELS) -> Column:
