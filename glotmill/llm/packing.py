@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from glotmill.llm.pretokens import Memo
 
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
-MEMO = 600_000
+MEMO, STEP = 1_200_000, 1000
 ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-ODD_MARK = re.compile(r"(?:^|[^0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff])[,.]")
+ODD = re.compile("[\x1c-\x1f]|(?:^|[^0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff])[,.]")
+#: Pre-tokens of lower-case ASCII words, as in the tokeniser's file.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def fill(counts: dict[int, int], space: int) -> dict[int, int]:
@@ -74,8 +75,9 @@ def windows(lengths: dict[int, int], capacity: int = CAPACITY) -> Iterator[list[
 class WordTokens:
     """Ids of texts by a tokeniser that drops white space and never joins what it separates, a word at a time.
 
-    Distinct words are kept with their ids. New ones go to the library many at a time: words of letters only, joined by
-    spaces, come back as one run of ids in which each word ends at the first entry with the end-of-word mark.
+    Distinct words are kept with their ids. New ones go to the library many at a time, joined by spaces, and come back
+    as one run of ids. Each pre-token ends with an entry that has the end-of-word mark, so the number of a word's
+    pre-tokens tells where its ids end.
     """
 
     def __init__(self, definition: str, word_end: str = "</w>"):
@@ -94,16 +96,17 @@ class WordTokens:
 
     def prepare(self, words: set[str]) -> None:
         words = words.difference(self.words)
-        new = [w for w in words if len(w) <= self.words.longest and w.isalpha()]
+        new = [(w, 1 if w.isalpha() else len(PIECES.findall(w))) for w in words if len(w) <= self.words.longest and (w.isalpha() or (w.isascii() and "<|" not in w))]
         if len(self.words) + len(new) > self.words.bound:
             self.words.clear()
         parts = [new[i : i + 500] for i in range(0, len(new), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in p]) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) == len(part):  # else the words are encoded one by one when they are asked for
+            last = np.cumsum([n for _, n in part])
+            if len(stops) == last[-1]:  # else the words are encoded one by one when they are asked for
                 run, at = ids.tobytes(), 0
-                for w, stop in zip(part, stops.tolist()):
+                for (w, _), stop in zip(part, stops[last - 1].tolist()):
                     self.words[w] = run[at:stop]
                     at = stop
 
@@ -118,16 +121,18 @@ class WordTokens:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None if ODD_SPACES.intersection(text) else text.split()
-        if ODD_SPACE.search(text):
-            return None
         text = text.lower()
-        return (text if ODD_MARK.search(text) else text.replace(",", " ,").replace(".", " .")).split()
+        if ODD.search(text):
+            return None if ODD_SPACES.intersection(text) else text.split()
+        return text.replace(",", " ,").replace(".", " .").split()
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.split(t) for t in texts]
-        self.prepare(set().union(*[w for w in split if w]))
-        for text, words in zip(texts, split):
-            yield self.whole(text) if words is None else b"".join(map(self.words.__getitem__, words))
+        for i in range(0, len(texts), STEP):
+            part = texts[i : i + STEP]
+            split = [self.split(t) for t in part]
+            self.prepare(set().union(*[w for w in split if w]))
+            for text, found in zip(part, split):
+                yield self.whole(text) if found is None else b"".join(map(self.words.__getitem__, found))
 
 
 _TOKENS: dict[int, WordTokens] = {}
