@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from struct import pack
@@ -29,15 +30,18 @@ from glotmill.llm.pretokens import Memo
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
 MEMO, STEP = 1_200_000, 1000
 ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
-ODD = re.compile("[\x1c-\x1f]|(?:^|[^0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff])[,.]")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
+ODD = re.compile("[,.](?<![0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff][,.])")
 #: Pre-tokens of lower-case ASCII words, as in the tokeniser's file.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
-def fill(counts: dict[int, int], space: int) -> dict[int, int]:
-    """How often to take each length so that the sum comes closest to ``space`` from below."""
+def fill(counts: dict[int, int], order: list[int], space: int) -> dict[int, int]:
+    """How often to take each length so that the sum comes closest to ``space`` from below; ``order`` has the lengths, ascending."""
     reach, mask, steps = 1, (1 << (space + 1)) - 1, []
-    for length in sorted(counts, reverse=True):
+    for i in range(bisect_right(order, space) - 1, -1, -1):
+        length = order[i]
         left, times = counts[length], 1
         while left and length * times <= space:
             take = min(times, left)
@@ -56,17 +60,18 @@ def fill(counts: dict[int, int], space: int) -> dict[int, int]:
 
 def windows(lengths: dict[int, int], capacity: int = CAPACITY) -> Iterator[list[int]]:
     """Lengths of each window; ``lengths`` maps a length to its number."""
-    left = dict(lengths)
+    left, order = dict(lengths), sorted(lengths)
 
     def drop(length: int, n: int) -> None:
         left[length] -= n
         if not left[length]:
             del left[length]
+            order.pop(bisect_left(order, length))
 
-    while left:
-        longest = max(left)
+    while order:
+        longest = order[-1]
         drop(longest, 1)
-        used = fill(left, capacity - longest)
+        used = fill(left, order, capacity - longest)
         for length, n in used.items():
             drop(length, n)
         yield [longest] + [length for length, n in sorted(used.items(), reverse=True) for _ in range(n)]
@@ -121,9 +126,11 @@ class WordTokens:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None if ODD_SPACES.intersection(text) else text.split()
+        if ODD_SPACE.search(text):
+            return None
         text = text.lower()
         if ODD.search(text):
-            return None if ODD_SPACES.intersection(text) else text.split()
+            return text.split()
         return text.replace(",", " ,").replace(".", " .").split()
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
