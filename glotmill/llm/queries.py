@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotmill.llm import bpe, chat, packing, token_counts, topk, toxicity
+from glotmill.llm import bpe, chat, oracles, packing, token_counts, topk, toxicity
 from glotmill.llm.common import held_out, table
 from glotmill.llm.exact_dedup import exact_groups
 from glotmill.llm.pii import KINDS, personal_spans
@@ -107,4 +107,5 @@ QUERIES = {
     "op9_quotation_chat": op9_quotation_chat,
     "op10_kd_top_k": op10_kd_top_k,
 }
-ORACLES: dict[str, str] = {}
+#: Training, fingerprints, tokenisers, co-occurrence terms and linking have no SQL form; tests hold them against brute force.
+ORACLES = {"op3_secret_scan": oracles.SECRETS, "op6_exact_dedup": oracles.EXACT, "op10_kd_top_k": oracles.TOP_K}
