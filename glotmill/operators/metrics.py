@@ -154,4 +154,4 @@ def early_stop(history: DataFrame, model: str = "model", score: str = "macro_f1"
     last = F.max(F.when(F.col("gain"), F.col("epoch"))).over(Window.partitionBy(model).orderBy("epoch"))
     stale = gained.withColumn("stale", F.col("epoch") - last)
     stop = F.min(F.when(F.col("stale") >= patience, F.col("epoch"))).over(Window.partitionBy(model))
-    return stale.where(F.col("epoch") <= F.coalesce(stop, F.col("epoch"))).drop("stale")
+    return stale.withColumn("stop", stop).where(F.col("epoch") <= F.coalesce("stop", "epoch")).drop("stale", "stop")
