@@ -32,9 +32,15 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt over the cores before work per row; larger ones are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     r = F.pmod("doc_id", F.lit(10))
-    return read(spark, sf, "documents").select("doc_id", "text", F.when(r == 8, "val").when(r == 9, "test").otherwise("train").alias("split"))
+    return spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", F.when(r == 8, "val").when(r == 9, "test").otherwise("train").alias("split"))
 
 
 def v1(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,6 +155,8 @@ def labelled(spark, sf) -> DataFrame:
     """Annotations with a two-label vocabulary (quality, toxic) from ``labels``; documents without labels have none."""
     lab = read(spark, sf, "labels").select(F.col("doc_id").alias("lid"), F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit(0)), F.when(F.col("toxic") == 1, F.lit(1)))).alias("label_ids"))
     d = v2(spark, sf)
+    # queries over this use it several times; what is kept is narrow, and lost parts are made again
+    d = d.select("id", "split", "n_word_tokens", "english_ratio", "is_cs_strict", "is_cs_broad", "cs_group", "cs_level").persist()
     joined = d.join(lab, d["id"] == lab["lid"], "left").drop("lid").withColumn("label_ids", F.coalesce("label_ids", F.expr("cast(array() as array<int>)")))
     return joined.withColumns({"n_labels": F.size("label_ids"), "primary_label": primary_label(F.col("label_ids"))})
 
