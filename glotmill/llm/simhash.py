@@ -109,10 +109,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
 
 
 # Near copies at a given similarity. Word shingles as sets, 256 bits: the expected share of differing bits is the angle
-# between the two sets over pi, so a similarity stands for a number of bits, and 256 of them tell it from chance.
+# between the two sets over pi, so a similarity stands for a number of bits, which finds candidates; their sets decide.
 
 WIDE = 256
 LANES = ["f0", "f1", "f2", "f3"]
+NEAREST = 8
 
 
 def bits_at(similarity: float, deviations: float = 1.5) -> int:
@@ -141,8 +142,8 @@ def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _banded(nodes: DataFrame, name: str, bands: int, reach: int) -> DataFrame:
-    """(anchor, node column ``name``, lanes): anchors of ``bands`` separate blocks of 23 bits, the band in the anchor."""
+def _banded(nodes: DataFrame, names: list[str], bands: int, reach: int) -> DataFrame:
+    """(anchor, columns ``names``, lanes): anchors of ``bands`` separate blocks of 23 bits, the band in the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(golay.LENGTH, dtype=np.int64)
@@ -155,42 +156,77 @@ def _banded(nodes: DataFrame, name: str, bands: int, reach: int) -> DataFrame:
                     rows, at = golay.anchors([bits[:, band * golay.LENGTH : (band + 1) * golay.LENGTH] @ weights], reach)
                     taken = pa.array(rows)
                     anchors = pa.array(at | band << golay.LENGTH)
-                    yield pa.RecordBatch.from_arrays([anchors, *[part.column(c).take(taken) for c in (name, *LANES)]], names=["anchor", name, *LANES])
+                    yield pa.RecordBatch.from_arrays([anchors, *[part.column(c).take(taken) for c in (*names, *LANES)]], names=["anchor", *names, *LANES])
 
-    schema = f"anchor long, {name} long, " + ", ".join(f"{x} long" for x in LANES)
-    return nodes.select(name, *LANES).mapInArrow(run, schema)
+    schema = ", ".join(f"{x} long" for x in ("anchor", *names, *LANES))
+    return nodes.select(*names, *LANES).mapInArrow(run, schema)
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, set) of (node, text): hashes of a text's distinct shingles; of rows that repeat a node one text speaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [sorted({xxhash.xxh3_64_intdigest(x, SEED) >> 1 for x in shingles(words_of(t), size)}) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return texts.mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.max("set").alias("set"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b and further columns; read twice) whose sets of shingles have this Jaccard similarity.
+
+    ``texts`` has node and text; sets are made for the nodes of pairs alone.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut_lineage(shingle_sets(texts.join(asked, "node", "left_semi"), size))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    # shared / (all of both - shared) >= similarity, with room for rounding
+    enough = shared * (1 + similarity) + 1e-9 >= (F.size("set_a") + F.size("set_b")) * similarity
+    return both.where(enough).select(*pairs.columns)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 6, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
 
-    Two texts are near copies if their fingerprints differ in at most ``bits_at(similarity)`` of 256 bits and meet at
-    an anchor of some band (radius 3 plus ``reach``). Groups of any size give few rows: first every fingerprint is held
-    against ``centres`` members of each anchor (at most 4,096 x bands x centres rows, a fixed number, broadcast), which
-    already joins large groups; then homes meet replicas, and only pairs from different groups leave the join. Work at
-    an anchor grows with the square of its fingerprints; more input wants longer anchors, at some cost of recall.
+    Candidates are two texts whose fingerprints differ in at most ``bits_at(similarity)`` of 256 bits and meet at an
+    anchor of some band (radius 3 plus ``reach``); they are near copies if their sets of shingles have the similarity.
+    Groups of any size give few rows: first every fingerprint is held against the nearest of ``centres`` members of each
+    anchor (at most 4,096 x bands x centres rows, a fixed number, broadcast), which already joins large groups; then
+    homes meet replicas, and only pairs from different groups leave the join. Work at an anchor grows with the square
+    of its fingerprints; more input wants longer anchors, at some cost of recall.
 
     Null ids are in no group. Texts without words share a fingerprint and are one group, as are texts with equal sets
     of shingles.
     """
     limit = bits_at(similarity)
-    rows = cut_lineage(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), size, id_col, text_col))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    rows = cut_lineage(wide_fingerprints(texts, size, "node"))
     nodes = cut_lineage(rows.groupBy(*LANES).agg(F.min("doc").alias("node")))
+    bits = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in LANES), F.lit(0))
 
-    def apart(a: str, b: str):
-        return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in LANES), F.lit(0)) <= limit
+    def near(pairs: DataFrame) -> DataFrame:
+        return verified(cut_lineage(pairs), texts, size, similarity)
 
-    homes = cut_lineage(_banded(nodes, "node", bands, 0))
+    homes = cut_lineage(_banded(nodes, ["node"], bands, 0))
     spot = F.struct(F.xxhash64("node").alias("order"), "node", *LANES)
     few = homes.groupBy("anchor", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(centres)).alias("slot")).agg(F.min(spot).alias("c")).select("anchor", "c.*")
-    copies = _banded(nodes, "node", bands, reach)
-    first = copies.alias("b").join(F.broadcast(few).alias("a"), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") != F.col("b.node")) & apart("a", "b"))
-    links = cut_lineage(first.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    roots = cut_lineage(connected_components(links))
-    marked = cut_lineage(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), *LANES))
-    left, right = _banded(marked, "root", bands, 0).alias("a"), _banded(marked, "root", bands, reach).alias("b")
-    more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & apart("a", "b"))
-    merged = connected_components(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    copies = _banded(nodes, ["node"], bands, reach)
+    first = copies.alias("b").join(F.broadcast(few).alias("a"), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") != F.col("b.node")) & (bits <= limit))
+    # a fingerprint meets at most a few hundred of them, whatever the input; those not taken here are met again below
+    met = first.groupBy(F.col("b.node").alias("b")).agg(F.array_sort(F.collect_set(F.struct(bits.alias("bits"), F.col("a.node").alias("a")))).alias("met"))
+    nearest = met.select("b", F.explode(F.slice("met", 1, NEAREST)).alias("c")).select("c.a", "b")
+    roots = cut_lineage(connected_components(near(nearest)))
+    marked = cut_lineage(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *LANES))
+    left, right = _banded(marked, ["node", "root"], bands, 0).alias("a"), _banded(marked, ["node", "root"], bands, reach).alias("b")
+    more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & (bits <= limit))
+    ends = [F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.root").alias("root")) for x in "ab"]
+    apart = more.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+    across = near(apart.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.root").alias("root_a"), F.col("q.root").alias("root_b")))
+    merged = connected_components(across.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     named = final.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("component"))
     members = rows.join(nodes, LANES).select("doc", "node").join(named, "node").select("doc", "component")
