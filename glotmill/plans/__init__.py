@@ -1,5 +1,6 @@
 """Named queries over the standard tables, each with the SQL that says the same."""
 
+from glotmill.plans import evaluation  # noqa: F401  registers its queries
 from glotmill.plans.reference import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
