@@ -142,23 +142,6 @@ def test_near_duplicates(spark, odd):
     assert sorted(str(x.doc_id) for x in simhash.drop_near_copies(df).collect()) == ["5", "7", "None"]
 
 
-def test_similar_groups(spark):
-    rng, texts = random.Random(5), []
-    for family in range(60):
-        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200))]
-        for _ in range(6):
-            edits = {rng.randrange(len(base)) for _ in range(rng.randrange(1 + len(base) // 20))}
-            texts.append(" ".join(f"e{rng.randrange(5000)}" if i in edits else w for i, w in enumerate(base)))
-    sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in texts]
-    links = [(a, b) for f in range(0, len(texts), 6) for a in range(f, f + 6) for b in range(a + 1, f + 6) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    true = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit("x") for c in ("node", "a", "set", "component")})
-    found = {r.doc: r.component for r in simhash.similar_groups(df).collect()}
-    # nothing is grouped that no chain of links joins; nearly all links are found
-    assert all(true.get(d) == true.get(c) and d in true for d, c in found.items())
-    assert sum(a in found and found.get(a) == found.get(b) for a, b in links) >= 0.97 * len(links)
-
-
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
