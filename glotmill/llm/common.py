@@ -36,5 +36,5 @@ def held_out(doc_id: Column) -> Column:
 
 
 def unit_hash(column: Column, salt: str) -> Column:
-    """A reproducible number in [0, 1) for sampling."""
-    return F.pmod(F.xxhash64(F.lit(salt), column), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    """A reproducible number in [0, 1) for sampling, of 53 bits, so that a share of any size is met."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), column), 11) / F.lit(float(1 << 53))

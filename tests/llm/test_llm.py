@@ -65,6 +65,11 @@ def spans_by_re(text):
     return ",".join(x for *_, x in sorted(out))
 
 
+def test_exact_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "x yz"), (2, "abc"), (2, "xyz")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_exact_copies(df).collect())) == [(1, "x yz"), (2, "abc")]
+
+
 def test_secrets(spark, odd):
     rng = random.Random(5)
     bits = ["password", "=", "token", ":", " ", "abcdef", "'", "AKIA", "A" * 16, "é", "f" * 12, "API_KEY", "0" * 12, "\n"]
