@@ -109,10 +109,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
 
 
 # Near copies at a given similarity. Word shingles as sets, 256 bits: the expected share of differing bits is the angle
-# between the two sets over pi, so a similarity stands for a number of bits, and 256 of them tell it from chance.
+# between the two sets over pi, so a similarity stands for a number of bits. Fingerprints propose, sets decide.
 
 WIDE = 256
 LANES = ["f0", "f1", "f2", "f3"]
+BLOCK = 256
 
 
 def bits_at(similarity: float, deviations: float = 1.5) -> int:
@@ -121,23 +122,27 @@ def bits_at(similarity: float, deviations: float = 1.5) -> int:
     return math.floor(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
 
 
-def wide_fingerprint(text: str | None, size: int = 5) -> bytes:
+def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, int]:
+    """The fingerprint, and a hash of the set of shingles itself (0 for a text without words)."""
     parts = set(shingles(words_of(text), size))
     if not parts:
-        return bytes(WIDE // 8)
+        return bytes(WIDE // 8), 0
     joined = b"".join(xxhash.xxh3_128_digest(p, SEED) + xxhash.xxh3_128_digest(p, SEED + 1) for p in parts)
-    return majority(np.frombuffer(joined, dtype=np.uint8).reshape(len(parts), WIDE // 8)).tobytes()
+    own = np.frombuffer(joined, dtype=np.int64).reshape(len(parts), 4)[:, 0].sum()
+    return majority(np.frombuffer(joined, dtype=np.uint8).reshape(len(parts), WIDE // 8)).tobytes(), int(own)
 
 
 def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, f0, f1, f2, f3)."""
+    """(doc, node, f0, f1, f2, f3); texts with the same node have the same set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.frombuffer(b"".join(wide_fingerprint(t, size) for t in b.column(1).to_pylist()), dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(fps[:, i].copy()) for i in range(4)]], names=["doc", *LANES])
+            found = [wide_fingerprint(t, size) for t in b.column(1).to_pylist()]
+            fps = np.frombuffer(b"".join(fp for fp, _ in found), dtype=np.int64).reshape(-1, 4)
+            own = pa.array([own for _, own in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), own, *[pa.array(fps[:, i].copy()) for i in range(4)]], names=["doc", "node", *LANES])
 
-    schema = "doc long, " + ", ".join(f"{x} long" for x in LANES)
+    schema = "doc long, node long, " + ", ".join(f"{x} long" for x in LANES)
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -161,21 +166,8 @@ def _banded(nodes: DataFrame, name: str, bands: int, reach: int) -> DataFrame:
     return nodes.select(name, *LANES).mapInArrow(run, schema)
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 6, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
-
-    Two texts are near copies if their fingerprints differ in at most ``bits_at(similarity)`` of 256 bits and meet at
-    an anchor of some band (radius 3 plus ``reach``). Groups of any size give few rows: first every fingerprint is held
-    against ``centres`` members of each anchor (at most 4,096 x bands x centres rows, a fixed number, broadcast), which
-    already joins large groups; then homes meet replicas, and only pairs from different groups leave the join. Work at
-    an anchor grows with the square of its fingerprints; more input wants longer anchors, at some cost of recall.
-
-    Null ids are in no group. Texts without words share a fingerprint and are one group, as are texts with equal sets
-    of shingles.
-    """
-    limit = bits_at(similarity)
-    rows = cut_lineage(wide_fingerprints(docs.where(F.col(id_col).isNotNull()), size, id_col, text_col))
-    nodes = cut_lineage(rows.groupBy(*LANES).agg(F.min("doc").alias("node")))
+def _rough_groups(nodes: DataFrame, limit: int, bands: int, reach: int, centres: int) -> DataFrame:
+    """(node, root): groups joined by chains of fingerprints that meet at an anchor and differ in ``limit`` bits or fewer."""
 
     def apart(a: str, b: str):
         return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in LANES), F.lit(0)) <= limit
@@ -192,10 +184,99 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, band
     more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & apart("a", "b"))
     merged = connected_components(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    named = final.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("component"))
-    members = rows.join(nodes, LANES).select("doc", "node").join(named, "node").select("doc", "component")
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    return members.join(sizes, "component", "left_semi")
+    return final.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, set) of (text): hashes of the distinct shingles, by the same node as ``wide_fingerprints``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                sets = []
+                for t in b.column(0).slice(i, 256).to_pylist():
+                    parts = set(shingles(words_of(t), size))
+                    sets.append(np.frombuffer(b"".join(xxhash.xxh3_128_digest(p, SEED)[:8] for p in parts), dtype=np.int64))
+                own = pa.array([int(s.sum()) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([own, pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return texts.select("text").mapInArrow(run, "node long, set array<long>").groupBy("node").agg(F.max("set").alias("set"))
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Matrix of the pairs that have at least this Jaccard similarity, by counts of their common elements."""
+    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.float64)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what only one set holds is in no intersection
+    column = (np.cumsum(n > 1) - 1)[at]
+    taken = np.flatnonzero(n[at] > 1)
+    taken = taken[np.argsort(column[taken], kind="stable")]
+    owner, column = owner[taken], column[taken]
+    shared = np.zeros((m, m))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        dense = np.zeros((m, 4096), dtype=np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        shared += dense @ dense.T
+    # shared / (all of both - shared) >= similarity, with room for rounding
+    return shared * (1 + similarity) + 1e-9 >= (sizes[:, None] + sizes[None, :]) * similarity
+
+
+def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join what chains of pairs of this similarity join, all pairs of a rough group being compared.
+
+    A group's members are dealt over blocks of about ``BLOCK``, and every two blocks (and each by itself) are a unit of
+    work, so no task holds a large group; a unit sends one link a member at most, however many of its pairs are similar.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        found = similar_sets([np.asarray(x.values) for x in table.column("set").combine_chunks()], similarity)
+        if block.min() != block.max():
+            found &= block[:, None] != block[None, :]
+        np.fill_diagonal(found, True)
+        label = np.arange(len(node))
+        while True:
+            lower = np.where(found, label[None, :], len(node)).min(axis=1)
+            if (lower == label).all():
+                break
+            label = lower
+        linked = label != np.arange(len(node))
+        return pa.table({"a": node[label[linked]], "b": node[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    sizes = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rough.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    units = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return units.groupBy("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 6, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
+
+    Two texts are near copies if their sets of shingles have the similarity. Fingerprints propose: those that differ
+    in at most ``bits_at(similarity)`` of 256 bits and meet at an anchor of some band (radius 3 plus ``reach``) fall
+    into a rough group, and within rough groups all pairs are compared by their sets. Rough groups of any size give few
+    rows: first every fingerprint is held against ``centres`` members of each anchor (at most 4,096 x bands x centres
+    rows, a fixed number, broadcast), which already joins large groups; then homes meet replicas, and only pairs from
+    different groups leave the join. Work at an anchor grows with the square of its fingerprints; more input wants
+    longer anchors, at some cost of recall. Comparing a rough group of n sends each member to n / ``BLOCK`` units.
+
+    Null ids are in no group. Texts without words are one group, as are texts with equal sets of shingles.
+    """
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = cut_lineage(wide_fingerprints(texts, size, "doc"))
+    # equal sets have equal fingerprints
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]))
+    rough = cut_lineage(_rough_groups(nodes, bits_at(similarity), bands, reach, centres))
+    many = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    asked = rough.join(many, "root", "left_semi").join(nodes, "node").select(F.col("first").alias("doc")).distinct()
+    sets = cut_lineage(shingle_sets(texts.join(asked, "doc", "left_semi"), size))
+    roots = connected_components(cut_lineage(verified_links(rough, sets, similarity)))
+    named = cut_lineage(nodes.join(roots, "node", "left").select("node", "first", "docs", F.coalesce("root", "node").alias("root")))
+    groups = named.groupBy("root").agg(F.min("first").alias("component"), F.sum("docs").alias("n")).where("n > 1").select("root", "component")
+    return rows.select("doc", "node").join(named.join(groups, "root").select("node", "component"), "node").select("doc", "component")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
