@@ -252,11 +252,11 @@ def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> Data
     return units.groupBy("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 6, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 11, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
 
     Two texts are near copies if their sets of shingles have the similarity. Fingerprints propose: those that differ
-    in at most ``bits_at(similarity)`` of 256 bits and meet at an anchor of some band (radius 3 plus ``reach``) fall
+    in at most ``bits_at(similarity, 3.0)`` of 256 bits and meet at an anchor of some band (radius 3 plus ``reach``) fall
     into a rough group, and within rough groups all pairs are compared by their sets. Rough groups of any size give few
     rows: first every fingerprint is held against ``centres`` members of each anchor (at most 4,096 x bands x centres
     rows, a fixed number, broadcast), which already joins large groups; then homes meet replicas, and only pairs from
@@ -269,7 +269,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, band
     rows = cut_lineage(wide_fingerprints(texts, size, "doc"))
     # equal sets have equal fingerprints
     nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]))
-    rough = cut_lineage(_rough_groups(nodes, bits_at(similarity), bands, reach, centres))
+    rough = cut_lineage(_rough_groups(nodes, bits_at(similarity, 3.0), bands, reach, centres))
     many = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = rough.join(many, "root", "left_semi").join(nodes, "node").select(F.col("first").alias("doc")).distinct()
     sets = cut_lineage(shingle_sets(texts.join(asked, "doc", "left_semi"), size))

@@ -164,6 +164,16 @@ def test_similar_groups(spark):
     assert sum(a in found and found.get(a) == found.get(b) for a, b in links) >= 0.97 * len(links)
 
 
+def test_similar_groups_isolated(spark):
+    """Pairs at a similarity of 90 / 110 that no third text joins."""
+    rng, texts = random.Random(9), []
+    for _ in range(300):
+        base = [f"w{rng.randrange(100000)}" for _ in range(104)]
+        texts += [" ".join(base), " ".join(f"e{w}" if i in (30, 70) else w for i, w in enumerate(base))]
+    found = {r.doc: r.component for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[d] == d // 2 * 2 for d in found) and len(found) >= 0.985 * len(texts)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
