@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import BLANKS
+from glotmill.llm.common import BLANKS, cut_lineage
 
 SALTS = 16
 
@@ -73,3 +73,24 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(docs[text_col], F.lit(""))
     same = (F.length(text) == F.col("__chars")) & (F.xxhash64(F.regexp_replace(text, BLANKS, "")) == F.col("__check"))
     return docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")) & same, "left_semi")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of those that have the same id (null ids too), length and content, whichever it is.
+
+    Repeats are counted by narrow keys; only rows that have any are grouped with all their columns, after map tasks
+    have combined their own.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    content = F.regexp_replace(text, BLANKS, "")
+    keys = {"__id": F.col(id_col), "__chars": F.length(text), "__check": F.xxhash64(content), "__check2": F.crc32(content.cast("binary"))}
+    repeated = cut_lineage(docs.select(*[c.alias(k) for k, c in keys.items()]).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    if repeated.isEmpty():
+        return docs
+    r = repeated.select(*[F.col(k).alias(f"{k}_r") for k in keys])
+    keyed = docs.withColumns(keys)
+    same = F.lit(True)
+    for k in keys:
+        same &= keyed[k].eqNullSafe(r[f"{k}_r"])
+    once = keyed.join(r, same, "left_semi").dropDuplicates(list(keys))
+    return keyed.join(r, same, "left_anti").unionByName(once).select(*docs.columns)

@@ -70,6 +70,15 @@ def test_exact_repeated_ids(spark):
     assert sorted(map(tuple, exact_dedup.drop_exact_copies(df).collect())) == [(1, "x yz"), (2, "abc")]
 
 
+def test_exact_stage_repeated_rows(spark):
+    """A table taken in twice leaves the stage with one row of each group, null ids and null texts included."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "x yz"), (2, "xyz"), (3, "a b"), (3, "ab "), (3, "other"), (None, "n"), (None, "n"), (4, None), (5, "once")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows * 2], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.without_exact_copies(spark, df, "").collect()
+    assert sorted((str(r.doc_id), re.sub(r"\s", "", r.text or "")) for r in out) == [("1", "xyz"), ("3", "ab"), ("3", "other"), ("4", ""), ("5", "once"), ("None", "n")]
+
+
 def test_secrets(spark, odd):
     rng = random.Random(5)
     bits = ["password", "=", "token", ":", " ", "abcdef", "'", "AKIA", "A" * 16, "é", "f" * 12, "API_KEY", "0" * 12, "\n"]
