@@ -11,6 +11,7 @@ and a lost executor's tasks give the same sequences again. Only the last window
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -29,12 +30,13 @@ from glotmill.llm.pretokens import Memo
 
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
 MEMO, STEP = 1_200_000, 1000
-ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
 ODD = re.compile("[,.](?<![0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff][,.])")
 #: Pre-tokens of lower-case ASCII words, as in the tokeniser's file.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Added tokens stand between these marks; the library looks for them before it lower-cases.
+SPECIAL = "<|"
 
 
 def fill(counts: dict[int, int], order: list[int], space: int) -> dict[int, int]:
@@ -77,12 +79,25 @@ def windows(lengths: dict[int, int], capacity: int = CAPACITY) -> Iterator[list[
         yield [longest] + [length for length, n in sorted(used.items(), reverse=True) for _ in range(n)]
 
 
+def piece_count(word: str) -> int:
+    """How many pre-tokens the library makes of ``word`` where that is certain, else 0.
+
+    Certain are lower-case words of Latin-1 letters alone (normal form and lower case leave them as they are, and letters
+    are one pre-token) and lower-case ASCII words.
+    """
+    if word != word.lower() or SPECIAL in word:
+        return 0
+    if word.isascii():
+        return len(PIECES.findall(word))
+    return int(max(word) <= "\xff" and word.isalpha())
+
+
 class WordTokens:
     """Ids of texts by a tokeniser that drops white space and never joins what it separates, a word at a time.
 
-    Distinct words are kept with their ids. New ones go to the library many at a time, joined by spaces, and come back
-    as one run of ids. Each pre-token ends with an entry that has the end-of-word mark, so the number of a word's
-    pre-tokens tells where its ids end.
+    Distinct words are kept with their ids. New ones go to the library many at a time. Words whose number of pre-tokens
+    is certain are joined by spaces and come back as one run of ids: each pre-token ends with an entry that has the
+    end-of-word mark, so that number tells where a word's ids end. All other words are entries of their own.
     """
 
     def __init__(self, definition: str, word_end: str = "</w>"):
@@ -100,34 +115,38 @@ class WordTokens:
         return pack(f"<{len(ids)}I", *ids)
 
     def prepare(self, words: set[str]) -> None:
-        words = words.difference(self.words)
-        new = [(w, 1 if w.isalpha() else len(PIECES.findall(w))) for w in words if len(w) <= self.words.longest and (w.isalpha() or (w.isascii() and "<|" not in w))]
+        new = [(w, piece_count(w)) for w in words.difference(self.words) if len(w) <= self.words.longest]
         if len(self.words) + len(new) > self.words.bound:
             self.words.clear()
-        parts = [new[i : i + 500] for i in range(0, len(new), 500)]
+        certain, others = [x for x in new if x[1]], [w for w, n in new if not n]
+        parts = [certain[i : i + 500] for i in range(0, len(certain), 500)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in p]) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             last = np.cumsum([n for _, n in part])
-            if len(stops) == last[-1]:  # else the words are encoded one by one when they are asked for
-                run, at = ids.tobytes(), 0
-                for (w, _), stop in zip(part, stops[last - 1].tolist()):
-                    self.words[w] = run[at:stop]
-                    at = stop
+            run, at = ids.tobytes(), 0
+            for (w, _), stop in zip(part, stops[last - 1].tolist()):
+                self.words[w] = run[at:stop]
+                at = stop
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.words[w] = pack(f"<{len(e.ids)}I", *e.ids)
 
     @staticmethod
     def split(text: str) -> list[str] | None:
         """Words of a text; None if it has separators that Python's split knows and the library does not.
 
         Latin-1 texts are lower-cased here (beyond it, lower case and normal form may depend on each other), and commas
-        and full stops after a letter or digit become words of their own, with what follows them.
+        and full stops after a letter or digit become words of their own, with what follows them. Texts that may hold
+        added tokens are only split: lower case would turn other spellings into them.
         """
+        if ODD_SPACE.search(text):
+            return None
+        if SPECIAL in text:
+            return text.split()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None if ODD_SPACES.intersection(text) else text.split()
-        if ODD_SPACE.search(text):
-            return None
+            return text.split()
         text = text.lower()
         if ODD.search(text):
             return text.split()
@@ -142,7 +161,7 @@ class WordTokens:
                 yield self.whole(text) if found is None else b"".join(map(self.words.__getitem__, found))
 
 
-_TOKENS: dict[int, WordTokens] = {}
+_TOKENS: dict[str, WordTokens] = {}
 
 
 def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,9 +185,10 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
                 offset += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(sent.value) not in _TOKENS:
-            _TOKENS[len(sent.value)] = WordTokens(sent.value)
-        tokens, end = _TOKENS[len(sent.value)], pack("<I", end_id)
+        name = hashlib.sha256(sent.value.encode()).hexdigest()
+        if name not in _TOKENS:
+            _TOKENS[name] = WordTokens(sent.value)
+        tokens, end = _TOKENS[name], pack("<I", end_id)
         sequence, rest = TaskContext.get().partitionId() << 32, []
 
         def table(rows: list[list]) -> pa.RecordBatch:

@@ -248,6 +248,24 @@ def test_packing(odd):
     assert max(ends.values()) <= 2048
 
 
+def test_word_tokens():
+    """Batches of mixed scripts, capitals, apostrophes and added tokens against the library, words kept in between."""
+    from tokenizers import Tokenizer
+
+    definition = queries.definition("word_bpe_49k.json")
+    t, mine = Tokenizer.from_str(definition), packing.WordTokens(definition)
+    bits = ["İstanbul", "Don't", "don't", "CAN'T", "İ", "ß", "ǅ", "Σας", "x's", "it'll", "1st", "٣", "½", "e\u0301", "\u0301", "中文", "привет", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "a.b,c", ",", ".", "?.", "ªº", "Å", "\u2126", "한국", "ﬁ", "\x1c", "\x00", "\u200b", "o'İ's", "cafe'S"]
+    gaps = ["", " ", "\n", "\xa0", "\u2003", "\x85", "\t"]
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.lists(st.tuples(st.one_of(st.sampled_from(bits), st.text(st.characters(exclude_categories=["Cs"]), max_size=4), st.text("abcé'.,1 ", max_size=6)), st.sampled_from(gaps)), max_size=6), max_size=6))
+    def same(parts):
+        texts = ["".join(a + b for a, b in p) for p in parts]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in mine.encode_batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    same()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), max_size=8), st.integers(0, 40))
 def test_fill(counts, space):
