@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotmill.llm import bpe, chat, oracles, packing, token_counts, topk, toxicity
-from glotmill.llm.common import held_out, table
+from glotmill.llm.common import held_out, shared_folder, table
 from glotmill.llm.exact_dedup import exact_groups
 from glotmill.llm.pii import KINDS, personal_spans
-from glotmill.llm.secrets import RULES, secrets_by_path
+from glotmill.llm.secrets import RULES, findings_by_path, update_ledger
 from glotmill.llm.simhash import near_duplicates
 from glotmill.llm.spans import of_kind, spelled
 
@@ -29,8 +31,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets_by_path(table(spark, sf_dir, "documents"))
+def op3_secret_scan(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Findings of all documents. ``ledger`` is the folder of a ledger to use and append to; by default a new one."""
+    docs = table(spark, sf_dir, "documents")
+    seen = update_ledger(docs, ledger or f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    found = findings_by_path(docs, seen)
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in RULES if r.base]))
     return found.withColumn("base", base).select(
         F.col("path").alias("doc_id"),

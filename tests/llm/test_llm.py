@@ -100,6 +100,36 @@ def test_ledger(odd):
     assert plain(secrets.secrets_by_path(odd, ledger=ledger)) == plain(secrets.secrets_by_path(odd))
 
 
+def test_ledger_versions(spark, odd, tmp_path):
+    """A second version of the table scans only what is new in it; findings reach all its rows."""
+    folder = str(tmp_path / "ledger")
+    first = secrets.update_ledger(odd.where("doc_id < 8"), folder)
+    before = first.count()
+    both = secrets.update_ledger(odd, folder)
+    assert both.count() - before == len({t or "" for t in TEXTS[8:]} | {"null id"}) * len(secrets.RULES) and secrets.update_ledger(odd, folder).count() == both.count()
+    plain = lambda df: sorted((str(r.path), str(r.spans)) for r in df.collect())
+    assert plain(secrets.findings_by_path(odd, both)) == plain(secrets.secrets_by_path(odd))
+
+
+def test_web_tokens(spark):
+    """Runs with several starts, in the middle of words, and cut short, against the plain pattern."""
+    rng = random.Random(8)
+    bits = ["eyJ", "eyJabcdefgh", ".", "abcdefgh", "-", "x", " ", "é", "eyJeyJabcde.12345678.z", "..."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(10))) for _ in range(400)]
+    got = {r.path: [(s.start, s.stop, s.value) for s in r.spans if s.kind == "jwt"] for r in secrets.secrets_by_path(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [(*m.span(), m[0]) for m in re.finditer(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", t)] for i, t in enumerate(texts)}
+
+
+def test_spans_of_long_texts(spark):
+    """Many matches in one text take time in proportion to it (squares of these sizes would take hours)."""
+    texts = ["token=abcdefg " * 20_000, "eyJabc" * 100_000, "a@b.cd word " * 20_000, "1.2.3.4 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.path: [(s.start, s.stop) for s in r.spans] for r in secrets.secrets_by_path(df).collect()}
+    assert found[0] == [(14 * i, 14 * i + 13) for i in range(20_000)] and found[1] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == texts[0] and re.fullmatch(r"(\[EMAIL\] (word|\[TERM\]) ){20000}", clean[2]) and clean[3] == "[IP] " * 20_000
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
 
