@@ -1,17 +1,19 @@
 """Personal data: pattern spans, and terms that give a protected entity away, in DataFrame functions only.
 
-The patterns find e-mail addresses, IP addresses, payment cards and telephone numbers. What stands near such an entity
-can still reveal it, so the corpus itself says how strongly: with n(t), n(e) and n(t, e) the numbers of documents that
-hold the term, the entity, and the term near the entity, and N that of all documents,
+The patterns find e-mail addresses, IP addresses, payment cards and telephone numbers. What else a text says can still
+reveal such an entity, so the corpus itself says how strongly: with n(t), n(e) and n(t, e) the numbers of documents that
+hold the term, the entity, and both (wherever they stand in it), and N that of all documents,
 
-    disclosure(t, e) = PMI(t, e) / IC(e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
+    disclosure(t, e) = PMI(t, e) / IC(e) = log(N p(e | t) / n(e)) / log(N / n(e)),    p(e | t) = n(t, e) / n(t),
 
-the share of the entity's information that the term gives. Terms over the threshold, seen with the entity in at least
-``min_support`` documents, become spans of kind ``term`` near that entity. Entities are generalised (to their kind, an
-e-mail address to its kind as well), and terms are generalised to ``[TERM]`` or removed.
+the share of the entity's information that the term gives. For p(e | t) its lower bound at ``evidence`` standard errors
+(Wilson's) is taken, so that rare terms and entities count by the evidence there is, and no number of documents is
+asked for. Candidates are terms that somewhere stand within ``window`` words of the entity. Those over the threshold
+become spans of kind ``term`` at every place where they stand in any document that holds the entity. Entities are
+generalised to their kind, terms to ``[TERM]``, or removed.
 
-All counts cover all documents. Document frequencies are needed only for terms that some entity has as a neighbour
-often enough, and those pairs are counted first.
+All counts cover all documents. As n(t, e) is at most n(t) and n(e), most candidates are out before pairs are counted;
+a pair is counted over the documents of its rarer part.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotmill.llm.common import cut_lineage
-from glotmill.llm.spans import SPAN, find_spans
+from glotmill.llm.spans import NONE, find_spans, let, pieces_of, running, stretch
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    window: int = 60  # characters on either side of an entity in which terms are looked for
-    min_support: int = 3  # documents in which term and entity stand together
+    window: int = 8  # words on either side of an entity in which candidates are looked for
+    evidence: float = 1.64  # standard errors by which p(e | t) is lowered
     threshold: float = 0.7  # share of the entity's information
 
 
@@ -39,7 +41,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?=[0-9](?:[\x20-]?[0-9]){12})[0-9](?:(?![\x20-](?![0-9]))[0-9\x20-])*"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 
 
 def digits(value: Column) -> Column:
@@ -75,35 +77,52 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def entity_key(span: Column) -> Column:
-    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"] == "email", F.lower(span["value"])).otherwise(digits(span["value"])))
+    """Spellings of one entity: e-mail addresses in any case, cards and telephone numbers by digits, IP addresses as they stand."""
+    value = F.when(span["kind"] == "email", F.lower(span["value"])).when(span["kind"] == "ip", span["value"]).otherwise(digits(span["value"]))
+    return F.concat(span["kind"], F.lit(":"), value)
 
 
-def neighbour_terms(text: Column, span: Column, others: Column, window: int) -> Column:
-    """Terms whole inside the windows before and after ``span``, with their spans; never text of another entity."""
-    left = F.greatest(F.lit(0), span["start"] - window)
+def marked(text: Column, base: Column) -> Column:
+    """Entities and the terms that overlap none of them, by place; array of spans."""
+    every = F.array_sort(F.concat(base, find_spans(text, "term", len(KINDS), TERM)))
 
-    def side(at: Column, stop: Column) -> Column:
-        # an edge that cuts a word yields a part of it, which the check against its neighbours below turns away
-        inside = find_spans(F.substring(text, at + 1, stop - at), "term", 4, TERM)
-        moved = F.transform(inside, lambda s: F.struct((s["start"] + at).alias("start"), s["ord"].alias("ord"), (s["stop"] + at).alias("stop"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
-        whole = lambda s: ~F.coalesce(F.substring(text, s["start"], F.when(s["start"] > 0, F.lit(1)).otherwise(F.lit(0))), F.lit("")).rlike(r"\p{L}") & ~F.substring(text, s["stop"] + 1, F.lit(1)).rlike(r"\p{L}")
-        return F.filter(moved, lambda s: whole(s) & ~F.exists(others, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"])))
+    def apart(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: F.when(is_entity(x), x["stop"]).otherwise(F.lit(0))), "int", F.greatest)
 
-    return F.concat(side(left, span["start"]), side(span["stop"], F.least(F.length(text), span["stop"] + window)))
+        def free(x: Column, i: Column, e: Column) -> Column:
+            # terms do not overlap each other, so what starts inside one is an entity and stands next to it
+            following = F.get(spans, i + 1)
+            return (F.element_at(e, i + 1) <= x["start"]) & ~F.coalesce(following["start"] < x["stop"], F.lit(False))
 
+        return let(ends, lambda e: F.filter(spans, lambda x, i: is_entity(x) | free(x, i, e)))
 
-NEAR = "array<struct<entity:string,terms:array<struct<start:int,ord:int,stop:int,kind:string,value:string>>>>"
+    return let(every, apart)
+
+
+def is_entity(span: Column) -> Column:
+    return span["ord"] < len(KINDS)
 
 
 def scan(docs: DataFrame, config: Disclosure, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row per row of ``docs``: row key, id, base spans, and for each entity the terms near it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """One row per row of ``docs``: row key, id, base spans; where there are any also the entities, (entity, t) for the
+    terms near each, and all terms with their places.
+    """
     found = base_spans(F.col("text"))
-    rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("base", F.concat(*[found[k] for k in KINDS]))
-    near = F.transform("base", lambda s: F.struct(entity_key(s).alias("entity"), neighbour_terms(F.col("text"), s, F.col("base"), config.window).alias("terms")))
+    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("base", F.concat(*[found[k] for k in KINDS]))
+    rows = rows.withColumn("all", F.when(F.size("base") > 0, marked(F.col("text"), F.col("base"))).otherwise(F.expr(NONE)))
+
+    def near(every: Column) -> Column:
+        def around(x: Column, i: Column) -> Column:
+            first = F.greatest(i - config.window, F.lit(0))
+            terms = F.filter(F.slice(every, first + 1, i + config.window + 1 - first), lambda y: ~is_entity(y))
+            return F.transform(terms, lambda y: F.struct(entity_key(x).alias("entity"), F.lower(y["value"]).alias("t")))
+
+        return F.flatten(F.transform(every, lambda x, i: F.when(is_entity(x), around(x, i)).otherwise(F.expr("cast(array() as array<struct<entity:string,t:string>>)"))))
+
+    marks = F.transform(F.filter("all", lambda x: ~is_entity(x)), lambda x: F.struct(F.lower(x["value"]).alias("t"), x["start"].alias("start"), x["stop"].alias("stop")))
     return rows.select(
         row_key(F.col("doc"), F.col("text")).alias("row"), "doc", "base",
-        F.when(F.size("base") > 0, near).otherwise(F.expr(f"cast(array() as {NEAR})")).alias("near"),
+        F.array_distinct(F.transform("base", entity_key)).alias("entities"), let(F.col("all"), near).alias("near"), marks.alias("marks"),
     )
 
 
@@ -113,27 +132,55 @@ def row_key(doc: Column, text: Column) -> Column:
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> DataFrame:
-    """(t, n_t): in how many documents each term stands; map tasks send one row per term."""
+    """(t, n_t): in how many rows of ``docs`` each term stands; a task sends one row per distinct term of its texts."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TERM), F.lit(0)))
     return docs.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
 
 
+def disclosed_share(n_te: Column, n_t: Column, n_e: Column, total: Column, evidence: float) -> Column:
+    """Share of the entity's information that the term gives, by the lower bound of p(e | t); all counts as doubles."""
+    n, p, z2 = n_t.cast("double"), n_te / n_t.cast("double"), evidence * evidence
+    low = (p + z2 / (2 * n) - evidence * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    scale = total.cast("double") / n_e
+    return F.when(scale > 1, F.log(low * scale) / F.log(scale)).otherwise(F.lit(0.0))
+
+
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, config: Disclosure, text_col: str = "text") -> DataFrame:
-    """(row, terms): the term spans over the threshold, for rows that have any. ``scanned`` is read several times."""
-    near = scanned.select("row", F.explode("near").alias("e")).select("row", "e.entity", F.explode("e.terms").alias("term"))
-    pairs = near.select("entity", F.col("term.value").alias("t"), "row").distinct().groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n_te"))
-    entities = scanned.select("row", F.explode(F.array_distinct(F.transform("near", lambda e: e["entity"]))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    """(row, risky): for rows that have any, the terms over the threshold for an entity of the row. ``scanned`` is read
+    several times.
+    """
+    holders = scanned.select("row", F.explode("entities").alias("entity")).distinct()
+    words = scanned.select("row", F.explode(F.array_distinct(F.transform("marks", lambda m: m["t"]))).alias("t")).distinct()
+    near = scanned.select(F.explode("near").alias("n")).select("n.*").groupBy("entity", "t").agg(F.lit(1).alias("one")).drop("one")
     total = scanned.agg(F.count(F.lit(1)).alias("total"))
-    scored = (
-        pairs.where(F.col("n_te") >= config.min_support)
-        .join(entities, "entity")
+    share = lambda n_te: disclosed_share(n_te, F.col("n_t"), F.col("n_e"), F.col("total"), config.evidence)
+    known = (
+        near.join(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")), "entity")
         .join(document_frequencies(docs, text_col), "t")
         .join(F.broadcast(total))  # one row
     )
-    share = F.log(F.col("total") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.col("total") / F.col("n_e"))
-    risky = scored.where((F.col("n_e") < F.col("total")) & (share >= config.threshold)).select("entity", "t")
-    hits = near.select("row", "entity", F.col("term.value").alias("t"), "term").join(risky, ["entity", "t"], "left_semi")
-    return hits.select("row", "term").distinct().groupBy("row").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    pairs = cut_lineage(known.where(share(F.least("n_e", "n_t")) >= config.threshold))
+    # each pair meets the documents of its rarer part, and stays where the other part stands too
+    by_entity = pairs.where("n_e <= n_t").join(holders, "entity").join(words, ["row", "t"], "left_semi")
+    by_term = pairs.where("n_e > n_t").join(words, "t").join(holders, ["row", "entity"], "left_semi")
+    met = cut_lineage(by_entity.unionByName(by_term))
+    risky = met.groupBy("entity", "t").agg(F.count(F.lit(1)).alias("n_te"), *[F.first(c).alias(c) for c in ("n_t", "n_e", "total")])
+    risky = risky.where(share(F.col("n_te")) >= config.threshold).select("entity", "t")
+    return met.join(risky, ["entity", "t"], "left_semi").groupBy("row").agg(F.collect_set("t").alias("risky"))
+
+
+def places(marks: Column, risky: Column) -> Column:
+    """Spans of the ``marks`` (sorted by place) whose term is among ``risky``; both are sorted together, not compared."""
+    at = lambda t, own, start, stop: F.struct(t.alias("t"), F.lit(own).alias("own"), start.alias("start"), stop.alias("stop"))
+    asked = F.transform(risky, lambda t: at(t, 0, F.lit(0), F.lit(0)))
+    every = F.array_sort(F.concat(asked, F.transform(marks, lambda m: at(m["t"], 1, m["start"], m["stop"]))))
+
+    def chosen(rows: Column) -> Column:
+        last = running(F.transform(rows, lambda x: F.when(x["own"] == 0, x["t"])), "string", lambda a, b: F.coalesce(b, a))
+        return let(last, lambda e: F.filter(rows, lambda x, i: (x["own"] == 1) & F.coalesce(F.element_at(e, i + 1) == x["t"], F.lit(False))))
+
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), x["stop"].alias("stop"), F.lit("term").alias("kind"), x["t"].alias("value"))
+    return F.array_sort(F.transform(let(every, chosen), span))
 
 
 def personal_spans(docs: DataFrame, config: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +190,8 @@ def personal_spans(docs: DataFrame, config: Disclosure = Disclosure(), id_col: s
     table gives an empty result, and other columns are not read.
     """
     scanned = cut_lineage(scan(docs, config, id_col, text_col))
-    terms = disclosing_terms(docs, scanned, config, text_col)
-    return scanned.join(terms, "row", "left").select("row", "doc", "base", F.coalesce("terms", F.expr(f"cast(array() as {SPAN})")).alias("terms"))
+    found = scanned.join(disclosing_terms(docs, scanned, config, text_col), "row", "left")
+    return found.select("row", "doc", "base", F.when(F.col("risky").isNotNull(), places(F.col("marks"), F.col("risky"))).otherwise(F.expr(NONE)).alias("terms"))
 
 
 def sanitise(docs: DataFrame, config: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text", remove_terms: bool = False) -> DataFrame:
@@ -156,19 +203,22 @@ def sanitise(docs: DataFrame, config: Disclosure = Disclosure(), id_col: str = "
     found = personal_spans(docs, config, id_col, text_col).where(F.size("base") + F.size("terms") > 0)
     spans = found.dropDuplicates(["row"]).select(F.col("row").alias("__row"), F.concat("base", "terms").alias("__spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("__row", row_key(F.col(id_col), text)).join(spans, "__row", "left")
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("low"), s["kind"].alias("kind"))))
+    keyed = docs.select(F.struct("*").alias("__doc"), row_key(F.col(id_col), text).alias("__row"), F.col(text_col).alias("__text")).join(spans, "__row", "left")
+    clean = F.when(F.col("__spans").isNull(), F.col("__text")).otherwise(rewritten(F.coalesce("__text", F.lit("")), F.col("__spans"), remove_terms))
+    return keyed.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns])
+
+
+def rewritten(text: Column, spans: Column, remove_terms: bool = False) -> Column:
+    """``text`` with its spans generalised; there is at least one."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("low"), s["kind"].alias("kind"))))
     label = lambda kind: F.when((kind == "term") & F.lit(remove_terms), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    written = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["pos"], -s["low"]).alias("pos"),
-            F.when(s["start"] < acc["pos"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), label(s["kind"])))
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))),
-    )
-    clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(written)
-    return keyed.withColumn("__clean", clean).select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+    def written(rows: Column, pieces: Column) -> Column:
+        def join(ends: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+            kept = F.transform(rows, lambda x, i: F.when(x["start"] >= before(i), F.concat(stretch(pieces, before(i), x["start"]), label(x["kind"]))).otherwise(F.lit("")))
+            return F.concat(F.array_join(kept, ""), stretch(pieces, F.element_at(ends, -1), F.length(text)))
+
+        return let(running(F.transform(rows, lambda x: -x["low"]), "int", F.greatest), join)
+
+    return let(ordered, lambda rows: let(pieces_of(text), lambda pieces: written(rows, pieces)))

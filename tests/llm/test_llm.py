@@ -159,6 +159,56 @@ def test_disclosure(spark):
     assert found[0] == {"zebra", "mail"} and found[59] == set()
 
 
+def disclosed_by_hand(texts, window=8, z=1.64, threshold=0.7):
+    """{doc: [(start, stop), ...]} of the disclosing terms, by the definitions alone."""
+    held, near, places = {}, set(), {}
+    for d, text in enumerate(texts):
+        base = [(a, b, k, text[a:b]) for k, a, b in pii_by_re(text)]
+        name = lambda k, v: (k, v.lower() if k == "email" else v if k == "ip" else re.sub(r"\D", "", v))
+        terms = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text) if not any(a < m.end() and m.start() < b for a, b, *_ in base)]
+        held[d], places[d] = {name(k, v) for *_, k, v in base}, terms
+        line = sorted([(a, 0, b, name(k, v)) for a, b, k, v in base] + [(a, 1, b, t) for a, b, t in terms])
+        for i, (_, kind, _, e) in enumerate(line):
+            near |= {(e, t) for _, k, _, t in line[max(0, i - window) : i + window + 1] if k == 1 and kind == 0}
+    words = [{m[0].lower() for m in re.finditer(r"[^\W_]+", t)} for t in texts]
+    n, out = len(texts), {d: [] for d in held}
+    for e, t in near:
+        docs = [d for d in held if e in held[d] and any(t == x for *_, x in places[d])]
+        n_e, n_t, n_te = sum(e in h for h in held.values()), sum(t in w for w in words), len(docs)
+        p = n_te / n_t
+        low = (p + z * z / (2 * n_t) - z * (p * (1 - p) / n_t + z * z / (4 * n_t * n_t)) ** 0.5) / (1 + z * z / n_t)
+        if n_e < n and np.log(low * n / n_e) / np.log(n / n_e) >= threshold:
+            for d in docs:
+                out[d] += [(a, b) for a, b, x in places[d] if x == t]
+    return {d: sorted(set(s)) for d, s in out.items()}
+
+
+def test_disclosure_by_hand(spark):
+    """Terms of every length and place, entities of one and of many documents, 10.1.1.1 apart from 101.1.1."""
+    rng = random.Random(12)
+    entities = {"kim@x.org": "Kim", "KIM@x.org": "李", "1.2.3.4": "x1", "12.3.4.0": "host", "+1 (988) 555-2485": "Li", "4041894974608795": "account77", "a@b.c": "naïve"}
+    texts = []
+    for d in range(300):
+        line = [rng.choice(["the", "of", "word", "and", f"rare{rng.randrange(60)}", f"once{d}"]) for _ in range(rng.randrange(40))]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            e = rng.choice([*entities])
+            line.insert(rng.randrange(len(line) + 1), e)
+            for _ in range(rng.randrange(4)):
+                line.insert(rng.randrange(len(line) + 1), entities[e])
+        texts.append(rng.choice([" ", ", ", "-"]).join(line))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc: [(s.start, s.stop) for s in r.terms] for r in pii.personal_spans(df).collect()}
+    want = disclosed_by_hand(texts)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
+def test_sanitised_columns(spark):
+    """Columns of any name stay as they are; overlapping spans are written once."""
+    df = spark.createDataFrame([(1, "mail a@b.c, +1.2.3.4.5.6.7.8.9 end", "x", 3)], "doc_id long, text string, __row string, __clean int")
+    out = pii.sanitise(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "mail [EMAIL], [PHONE] end", "x", 3)
+
+
 def test_golay():
     patterns, excess = golay.error_table(2)
     assert patterns.shape[0] == 2048 and ((excess == 0).sum(axis=1) == 1).all()
