@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotmill.llm import golay
@@ -113,7 +113,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
 
 WIDE = 256
 LANES = ["f0", "f1", "f2", "f3"]
-BLOCK = 256
+BLOCK, HUBS = 256, 4
 
 
 def bits_at(similarity: float, deviations: float = 1.5) -> int:
@@ -146,42 +146,77 @@ def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def _band_anchors(b: pa.RecordBatch, bands: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``bands`` separate blocks of 23 bits (row, anchor), the band in the anchor."""
+    weights = 1 << np.arange(golay.LENGTH, dtype=np.int64)
+    bits = np.unpackbits(np.ascontiguousarray(_lanes(b)).view(np.uint8), axis=1)
+    for band in range(bands):
+        rows, at = golay.anchors([bits[:, band * golay.LENGTH : (band + 1) * golay.LENGTH] @ weights], reach)
+        yield rows, at | band << golay.LENGTH
+
+
+def _lanes(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([b.column(x).to_numpy(zero_copy_only=False) for x in LANES], axis=1)
+
+
 def _banded(nodes: DataFrame, name: str, bands: int, reach: int) -> DataFrame:
-    """(anchor, node column ``name``, lanes): anchors of ``bands`` separate blocks of 23 bits, the band in the anchor."""
+    """(anchor, node column ``name``, lanes): one row for every anchor of every band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(golay.LENGTH, dtype=np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                lanes = np.stack([part.column(x).to_numpy(zero_copy_only=False) for x in LANES], axis=1)
-                bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1)
-                for band in range(bands):
-                    rows, at = golay.anchors([bits[:, band * golay.LENGTH : (band + 1) * golay.LENGTH] @ weights], reach)
+                for rows, anchors in _band_anchors(part, bands, reach):
                     taken = pa.array(rows)
-                    anchors = pa.array(at | band << golay.LENGTH)
-                    yield pa.RecordBatch.from_arrays([anchors, *[part.column(c).take(taken) for c in (name, *LANES)]], names=["anchor", name, *LANES])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors), *[part.column(c).take(taken) for c in (name, *LANES)]], names=["anchor", name, *LANES])
 
     schema = f"anchor long, {name} long, " + ", ".join(f"{x} long" for x in LANES)
     return nodes.select(name, *LANES).mapInArrow(run, schema)
 
 
-def _rough_groups(nodes: DataFrame, limit: int, bands: int, reach: int, centres: int) -> DataFrame:
-    """(node, root): groups joined by chains of fingerprints that meet at an anchor and differ in ``limit`` bits or fewer."""
+def _star_links(nodes: DataFrame, few: pa.Table, limit: int, bands: int, reach: int) -> DataFrame:
+    """(a, b): each node with one of the chosen centres ``few`` that it is close to, and that one with the others.
+
+    So the links of a large group are about as many as its nodes, however many centres they meet.
+    """
+    order = np.argsort(few.column("anchor").to_numpy(), kind="stable")
+    at, ids = few.column("anchor").to_numpy()[order], few.column("node").to_numpy()[order]
+    sent = nodes.sparkSession.sparkContext.broadcast((at, ids, _lanes(few)[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchors, centres, lanes = sent.value
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                own, mine, met = part.column("node").to_numpy(zero_copy_only=False), _lanes(part), []
+                for rows, wanted in _band_anchors(part, bands, reach):
+                    low, high = np.searchsorted(anchors, wanted), np.searchsorted(anchors, wanted, side="right")
+                    n = high - low
+                    row, centre = np.repeat(rows, n), np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    close = np.bitwise_count((mine[row] ^ lanes[centre]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= limit
+                    close &= own[row] != centres[centre]
+                    met.append(np.stack([row[close], centres[centre[close]]], axis=1))
+                # by row, then centre; a row's first centre is its star
+                pairs = np.unique(np.concatenate(met), axis=0)
+                new = np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)]
+                star = pairs[np.flatnonzero(new)[np.cumsum(new) - 1], 1] if len(pairs) else pairs[:, 1]
+                links = np.unique(np.concatenate([np.stack([star[new], own[pairs[new, 0]]], axis=1), np.stack([star[~new], pairs[~new, 1]], axis=1)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    return nodes.select("node", *LANES).mapInArrow(run, "a long, b long")
 
-    def apart(a: str, b: str):
-        return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in LANES), F.lit(0)) <= limit
 
-    homes = cut_lineage(_banded(nodes, "node", bands, 0))
+def _rough_groups(nodes: DataFrame, limit: int, bands: int, reach: int, centres: int) -> DataFrame:
+    """(node, root): groups joined by chains of fingerprints that meet at an anchor and differ in ``limit`` bits or fewer."""
+    close = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in LANES), F.lit(0)) <= limit
     spot = F.struct(F.xxhash64("node").alias("order"), "node", *LANES)
-    few = homes.groupBy("anchor", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(centres)).alias("slot")).agg(F.min(spot).alias("c")).select("anchor", "c.*")
-    copies = _banded(nodes, "node", bands, reach)
-    first = copies.alias("b").join(F.broadcast(few).alias("a"), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.node") != F.col("b.node")) & apart("a", "b"))
-    links = cut_lineage(first.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    roots = cut_lineage(connected_components(links))
+    slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(centres)).alias("slot")
+    # at most 4,096 x bands x centres rows, whatever the input
+    few = _banded(nodes, "node", bands, 0).groupBy("anchor", slot).agg(F.min(spot).alias("c")).select("anchor", "c.node", *[f"c.{x}" for x in LANES]).toArrow()
+    roots = cut_lineage(connected_components(cut_lineage(_star_links(nodes, few, limit, bands, reach).distinct())))
     marked = cut_lineage(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), *LANES))
     left, right = _banded(marked, "root", bands, 0).alias("a"), _banded(marked, "root", bands, reach).alias("b")
-    more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & apart("a", "b"))
+    more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & close)
     merged = connected_components(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     return final.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -223,11 +258,11 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return shared * (1 + similarity) + 1e-9 >= (sizes[:, None] + sizes[None, :]) * similarity
 
 
-def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join what chains of pairs of this similarity join, all pairs of a rough group being compared.
+def _compared(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in each unit (root, kind, i, j) of rows (node, block), links that join what its similar pairs join.
 
-    A group's members are dealt over blocks of about ``BLOCK``, and every two blocks (and each by itself) are a unit of
-    work, so no task holds a large group; a unit sends one link a member at most, however many of its pairs are similar.
+    A unit with two blocks compares members of different blocks, one with a single block all its members. It sends one
+    link a member at most, however many of its pairs are similar.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -245,11 +280,47 @@ def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> Data
         linked = label != np.arange(len(node))
         return pa.table({"a": node[label[linked]], "b": node[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
+    return units.join(sets, "node").groupBy("root", "kind", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
+def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join what chains of pairs of this similarity join, all pairs of a rough group being compared.
+
+    A group's members are dealt over blocks of about ``BLOCK``. First each block is compared by itself and with ``HUBS``
+    members of the group, which leaves a group of near copies in few components. Then, in groups of several blocks, only
+    pairs of different components can still matter: members outside the largest component meet all blocks. So a task
+    holds two blocks, and a group of n members with m outside sends about n + 2 n m / ``BLOCK`` sets.
+    """
     sizes = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = rough.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    units = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return units.groupBy("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(run, "a long, b long")
+    placed = cut_lineage(rough.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    unit = lambda kind, i, j: (F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = placed.select("node", "root", F.lit(0).alias("block"), *unit("own", F.col("block"), F.col("block")))
+    large = placed.where("blocks > 1")
+    few = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(2)), "node")).alias("c"), F.first("blocks").alias("blocks"))
+    hubs = few.select(F.col("c.node").alias("node"), "root", _numbers(F.col("blocks")).alias("at")).select("node", "root", F.lit(0).alias("block"), *unit("own", F.col("at"), F.col("at")))
+    links = cut_lineage(_compared(own.unionByName(hubs).dropDuplicates(["node", "root", "i"]), sets, similarity))
+    if large.isEmpty():
+        return links
+    inside = cut_lineage(large.join(connected_components(links).withColumnRenamed("root", "top"), "node", "left").select("node", "root", F.coalesce("top", "node").alias("part")))
+    parts = inside.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")).where("n_rest > 0")
+    sized = main.select("root", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rests"))
+    member = cut_lineage(inside.join(sized, "root"))
+    rest, most = (member.where(c) for c in ("part <> main", "part = main"))
+    number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    across = [
+        rest.select("node", "root", F.lit(1).alias("block"), number(F.col("rests")).alias("x"), _numbers(F.col("mains")).alias("y")),
+        most.select("node", "root", F.lit(2).alias("block"), number(F.col("mains")).alias("y"), _numbers(F.col("rests")).alias("x")),
+    ]
+    among = rest.select("node", "root", number(F.col("rests")).alias("block"), _numbers(F.col("rests")).alias("y"))
+    units = [u.select("node", "root", "block", *unit("across", F.col("x"), F.col("y"))) for u in across]
+    units.append(among.select("node", "root", "block", *unit("among", F.least("block", "y"), F.greatest("block", "y"))))
+    return links.unionByName(_compared(units[0].unionByName(units[1]).unionByName(units[2]), sets, similarity))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 11, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +332,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, band
     rows: first every fingerprint is held against ``centres`` members of each anchor (at most 4,096 x bands x centres
     rows, a fixed number, broadcast), which already joins large groups; then homes meet replicas, and only pairs from
     different groups leave the join. Work at an anchor grows with the square of its fingerprints; more input wants
-    longer anchors, at some cost of recall. Comparing a rough group of n sends each member to n / ``BLOCK`` units.
+    longer anchors, at some cost of recall. What comparing a rough group costs, ``verified_links`` says.
 
     Null ids are in no group. Texts without words are one group, as are texts with equal sets of shingles.
     """

@@ -263,6 +263,22 @@ def test_similar_groups_isolated(spark):
     assert all(found[d] == d // 2 * 2 for d in found) and len(found) >= 0.985 * len(texts)
 
 
+def test_large_group(spark, monkeypatch):
+    """Groups of many blocks with families that only some pairs join, against all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng, sets = random.Random(3), {}
+    for i in range(150):
+        family, far = rng.choice([0, 0, 0, 1, 2, 3]), rng.randrange(0, 14)
+        sets[i] = sorted({*range(100 * family, 100 * family + 100 - far), *(10_000 + 100 * i + x for x in range(far))})
+    rough = spark.createDataFrame([(i, 0 if i < 120 else i // 3) for i in sets], "node long, root long")
+    links = simhash.verified_links(rough, spark.createDataFrame([*sets.items()], "node long, set array<long>"), 0.8)
+    found = {r.node: r.root for r in connected_components(links).collect()}
+    alike = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    group = lambda i: 0 if i < 120 else i // 3
+    true = [(a, b) for a in sets for b in sets if a < b and group(a) == group(b) and alike(a, b)]
+    assert found == {r.node: r.root for r in connected_components(spark.createDataFrame(true, "a long, b long")).collect()}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
