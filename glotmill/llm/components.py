@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import cut_lineage
+from glotmill.llm.common import cut_lineage_counted
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,22 +25,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """True if every node stands on one side only and every u once, so that each edge points to its root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    known = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count_if(F.col("up") == 0).alias("downs"))
+    return known.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("downs") > 0)))).first()[0] == 0
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b); root is the smallest node reachable.
 
     Self-links and repeated links do no harm, links with a null end are dropped, and no links give no rows.
     """
     ends = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = cut_lineage(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        turned = cut_lineage(_star(_star(edges, large=True), large=False))
-        # both steps keep the components; the sum over the edges falls until every edge points to its root
-        now = turned.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = turned
-        if now == state:
-            break
-        state = now
+    edges, n = cut_lineage_counted(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # both steps keep the components and bring every node nearer to its root
+    while n and not _settled(edges):
+        edges, n = cut_lineage_counted(_star(_star(edges, large=True), large=False))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotmill.llm import golay
-from glotmill.llm.common import cut_lineage
+from glotmill.llm.common import cut_lineage, cut_lineage_counted
 from glotmill.llm.components import connected_components
 
 SEED = 42
@@ -114,6 +114,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
 WIDE = 256
 LANES = ["f0", "f1", "f2", "f3"]
 BLOCK, HUBS = 256, 4
+PER_TASK = 5000  # fingerprints whose anchors a task lists, at least
 
 
 def bits_at(similarity: float, deviations: float = 1.5) -> int:
@@ -213,8 +214,8 @@ def _rough_groups(nodes: DataFrame, limit: int, bands: int, reach: int, centres:
     slot = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(centres)).alias("slot")
     # at most 4,096 x bands x centres rows, whatever the input
     few = _banded(nodes, "node", bands, 0).groupBy("anchor", slot).agg(F.min(spot).alias("c")).select("anchor", "c.node", *[f"c.{x}" for x in LANES]).toArrow()
-    roots = cut_lineage(connected_components(cut_lineage(_star_links(nodes, few, limit, bands, reach).distinct())))
-    marked = cut_lineage(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), *LANES))
+    roots, _ = cut_lineage_counted(connected_components(_star_links(nodes, few, limit, bands, reach)))
+    marked, _ = cut_lineage_counted(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), *LANES), PER_TASK)
     left, right = _banded(marked, "root", bands, 0).alias("a"), _banded(marked, "root", bands, reach).alias("b")
     more = left.join(right, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.root") != F.col("b.root")) & close)
     merged = connected_components(more.select(F.col("a.root").alias("a"), F.col("b.root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -297,20 +298,23 @@ def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> Data
     """
     sizes = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = cut_lineage(rough.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
+    placed, _ = cut_lineage_counted(rough.join(sizes, "root").select("node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")))
     unit = lambda kind, i, j: (F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = placed.select("node", "root", F.lit(0).alias("block"), *unit("own", F.col("block"), F.col("block")))
     large = placed.where("blocks > 1")
     few = large.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)).alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(2)), "node")).alias("c"), F.first("blocks").alias("blocks"))
-    hubs = few.select(F.col("c.node").alias("node"), "root", _numbers(F.col("blocks")).alias("at")).select("node", "root", F.lit(0).alias("block"), *unit("own", F.col("at"), F.col("at")))
-    links = cut_lineage(_compared(own.unionByName(hubs).dropDuplicates(["node", "root", "i"]), sets, similarity))
-    if large.isEmpty():
+    spread = few.select(F.col("c.node").alias("node"), "root", "blocks", _numbers(F.col("blocks")).alias("at")).where(F.col("at") != F.pmod(F.xxhash64("node"), F.col("blocks")))
+    hubs = spread.select("node", "root", F.lit(0).alias("block"), *unit("own", F.col("at"), F.col("at")))
+    links, _ = cut_lineage_counted(_compared(own.unionByName(hubs), sets, similarity))
+    if not large.agg(F.count(F.lit(1))).first()[0]:
         return links
-    inside = cut_lineage(large.join(connected_components(links).withColumnRenamed("root", "top"), "node", "left").select("node", "root", F.coalesce("top", "node").alias("part")))
+    inside, _ = cut_lineage_counted(large.join(connected_components(links).withColumnRenamed("root", "top"), "node", "left").select("node", "root", F.coalesce("top", "node").alias("part")))
     parts = inside.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")).where("n_rest > 0")
     sized = main.select("root", "main", F.ceil(F.col("n_main") / BLOCK).cast("int").alias("mains"), F.ceil(F.col("n_rest") / BLOCK).cast("int").alias("rests"))
-    member = cut_lineage(inside.join(sized, "root"))
+    member, n = cut_lineage_counted(inside.join(sized, "root"))
+    if not n:
+        return links
     rest, most = (member.where(c) for c in ("part <> main", "part = main"))
     number = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     across = [
@@ -339,13 +343,13 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, band
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = cut_lineage(wide_fingerprints(texts, size, "doc"))
     # equal sets have equal fingerprints
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]))
-    rough = cut_lineage(_rough_groups(nodes, bits_at(similarity, 3.0), bands, reach, centres))
+    nodes, _ = cut_lineage_counted(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]), PER_TASK)
+    rough, _ = cut_lineage_counted(_rough_groups(nodes, bits_at(similarity, 3.0), bands, reach, centres))
     many = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     asked = rough.join(many, "root", "left_semi").join(nodes, "node").select(F.col("first").alias("doc")).distinct()
     sets = cut_lineage(shingle_sets(texts.join(asked, "doc", "left_semi"), size))
-    roots = connected_components(cut_lineage(verified_links(rough, sets, similarity)))
-    named = cut_lineage(nodes.join(roots, "node", "left").select("node", "first", "docs", F.coalesce("root", "node").alias("root")))
+    roots = connected_components(verified_links(rough, sets, similarity))
+    named, _ = cut_lineage_counted(nodes.join(roots, "node", "left").select("node", "first", "docs", F.coalesce("root", "node").alias("root")))
     groups = named.groupBy("root").agg(F.min("first").alias("component"), F.sum("docs").alias("n")).where("n > 1").select("root", "component")
     return rows.select("doc", "node").join(named.join(groups, "root").select("node", "component"), "node").select("doc", "component")
 
