@@ -4,7 +4,7 @@ Copies fall together in three steps, and each step groups by the content itself
 
 1. within a map task (Spark's partial aggregation), so that of a text held a million times each task sends one row;
 2. over (digest, salt), so that one hot text is met by ``SALTS`` tasks rather than one;
-3. over the digest alone, where at most ``SALTS`` rows per text and length are left.
+3. over the digest alone, where one winner of each salt, at most ``SALTS`` a text, is left.
 
 Memory: one task holds distinct contents only, and Spark's aggregation spills.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glotmill.llm.common import BLANKS, cut_lineage
 
-SALTS = 16
+SALTS, HOT = 16, 1000
 
 
 def with_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,12 +31,10 @@ def with_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per distinct content: digest, check (a second hash) and size of it, keep_chars, keep_id, group_size."""
     rows = with_content(docs, id_col, text_col)
-    salted = rows.groupBy("digest", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"), "chars", "content").agg(
-        F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")
-    )
     # of the largest struct the row with most characters comes first, then the smallest id; a null id loses
-    best = F.max(F.struct("chars", F.col("doc").isNotNull().alias("known"), (-F.col("doc")).alias("low"), "doc"))
-    merged = salted.groupBy("digest", "content").agg(best.alias("best"), F.sum("n").alias("group_size"))
+    best = F.max(F.struct("chars", F.col("doc").isNotNull().alias("known"), (-F.col("doc")).alias("low"), "doc")).alias("best")
+    salted = rows.groupBy("digest", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"), "content").agg(best, F.count(F.lit(1)).alias("n"))
+    merged = salted.groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
     return merged.select(
         F.col("digest").alias("w_digest"), F.xxhash64("content").alias("w_check"), F.length("content").alias("w_size"),
         F.col("best.chars").alias("keep_chars"), F.col("best.doc").alias("keep_id"), "group_size",
@@ -54,8 +52,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = with_content(docs, id_col, text_col).select(
         "doc", "chars", "digest", F.xxhash64("content").alias("check"), F.length("content").alias("size")
     )
-    w = winners(docs, id_col, text_col)
-    same = (F.col("digest") == F.col("w_digest")) & (F.col("check") == F.col("w_check")) & (F.col("size") == F.col("w_size"))
+    w = cut_lineage(winners(docs, id_col, text_col))
+    total = w.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    # at most HOT groups hold a share of 1 / HOT of the rows; these few are known to all tasks and meet their rows by salt
+    hot = F.col("group_size") * HOT >= total
+    small = small.join(F.broadcast(w.where(hot).select(F.col("w_digest").alias("digest"), F.lit(True).alias("hot")).distinct()), "digest", "left")
+    small = small.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    w = w.withColumn("w_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    same = (F.col("digest") == F.col("w_digest")) & (F.col("check") == F.col("w_check")) & (F.col("size") == F.col("w_size")) & (F.col("salt") == F.col("w_salt"))
     return small.join(w, same, "inner").select(
         F.col("doc").alias("doc_id"), "keep_id", "group_size",
         (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
