@@ -27,6 +27,31 @@ def parse_label_list(labels: Column, size: int = len(LABELS)) -> Column:
     return F.when(labels.isNull(), F.expr("cast(array() as array<int>)")).otherwise(ids)
 
 
+def strict_label_vector(labels: Column, size: int = len(LABELS)) -> Column:
+    """L4: a written list, one-hot list or number to a 0/1 vector, as training reads it.
+
+    Of a list, whole numbers in range count and others are dropped, but an item that is no number fails the query. A
+    single number counts from the end if it is negative; out of range, null or empty, nothing is set.
+    """
+    text = F.trim(labels.cast("string"))
+    listed, single = text.rlike(r"^[\[(].*[\])]$"), text.rlike(r"^[+-]?\d+(\.\d*)?$")
+    items = F.filter(F.transform(F.split(F.regexp_replace(text, r"^[\[(]|[\])]$|['\"]", ""), ","), lambda s: F.trim(s)), lambda s: s != "")
+    number = lambda s: F.when(s.rlike(r"^[+-]?\d+(\.\d*)?$"), s.try_cast("double").cast("int")).otherwise(F.raise_error(F.concat(F.lit("no label number: "), s)).cast("int"))
+    zero = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.lit(0.0))
+    hot = (F.size(items) == size) & F.forall(items, lambda s: s.rlike(r"^[01](\.0*)?$"))
+    marked = lambda ids: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(ids, i).cast("double"))
+    one = F.array(F.try_to_number(text, F.lit("S999999999")).cast("int"))
+    from_one = marked(F.transform(one, lambda v: F.when(v < 0, v + size).otherwise(v)))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda s: s.try_cast("int"))
+    return (
+        F.when(text.isNull(), zero)
+        .when(listed & hot, F.transform(items, lambda s: s.cast("double")))
+        .when(listed, marked(F.transform(items, number)))
+        .when(single, from_one)
+        .otherwise(F.coalesce(marked(found), zero))
+    )
+
+
 def multi_hot(ids: Column, size: int = len(LABELS)) -> Column:
     """L2: label ids to a 0/1 vector."""
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(ids, i).cast("tinyint"))

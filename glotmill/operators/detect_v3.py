@@ -18,9 +18,13 @@ COUNTS = ["n_english", "n_chinese", "n_translit", "n_loanword", "n_proper_noun",
 
 
 def keep_last(cache: DataFrame, tag: str | None = None) -> DataFrame:
-    """Of each (id, _tag) the entry written last. One aggregation, so a hot id is combined before the shuffle."""
+    """Of each (id, _tag) the entry written last, the greatest ``_seq`` (a number or a struct of several parts).
+
+    One aggregation, so a hot id is combined before the shuffle. Of entries with one ``_seq`` the same one stays each time.
+    """
     rows = cache if tag is None else cache.where(F.col("_tag") == tag)
-    return rows.groupBy("id", "_tag").agg(F.max_by(F.struct(*[c for c in cache.columns if c not in ("id", "_tag")]), "_seq").alias("r")).select("id", "_tag", "r.*")
+    entry = F.struct(*[c for c in cache.columns if c not in ("id", "_tag")])
+    return rows.groupBy("id", "_tag").agg(F.max_by(entry, F.struct(F.col("_seq"), F.xxhash64(entry))).alias("r")).select("id", "_tag", "r.*")
 
 
 def to_do(df: DataFrame, cache: DataFrame, tag: str, id_col: str = "id") -> DataFrame:
@@ -152,21 +156,55 @@ def parse_response(raw: Column) -> Column:
     return F.coalesce(*[inner[k] for k in keys], outer)
 
 
+def prompt_of(batch: list[tuple[str, str]], examples: list[tuple[str, dict]]) -> str:
+    """Worked examples, then one JSON line for each row (id, text) of the batch."""
+    import json
+
+    written = lambda o: json.dumps(o, ensure_ascii=False)
+    shown = "".join(f"Text: {t}\nJSON: {written(o)}\n" for t, o in examples)
+    asked = "\n".join(written({"id": str(i), "text": t}) for i, t in batch)
+    return f"{shown}\nAnswer with a JSON array of {len(batch)} objects, one for each line, with its id:\n{asked}"
+
+
+def aligned(ids: list[str], answers: list[dict]) -> list[dict]:
+    """Each id's answer: the one that carries the id, else the one in its place."""
+    by_id = {str(a.get("id")): a for a in answers}
+    return [by_id.get(k, answers[i]) for i, k in enumerate(ids)]
+
+
 def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag: str, id_col: str = "id", batch: int = 15) -> DataFrame:
-    """Annotations from any backend (texts in, one dict a text out), in batches; answers of another length are asked for again, three times at most."""
+    """Annotations from any backend (texts in, one dict a text out), in batches.
+
+    Answers go to their rows by id, else by place. An answer of another length, or one that fails, is asked for again
+    after 1 and 2 seconds; a batch without answer after three times gives no rows, so that ``to_do`` finds them again,
+    and a warning in the task's log.
+    """
 
     def run(frames: Iterator) -> Iterator:
+        import logging
+        import time
+
         import pandas as pd
 
         for f in frames:
             out = []
             for i in range(0, len(f), batch):
                 part = f.iloc[i : i + batch]
-                for _ in range(3):
-                    answers = backend(part["text"].tolist())
+                for attempt in range(3):
+                    try:
+                        answers = backend(part["text"].tolist())
+                    except Exception as e:  # whatever a remote backend raises
+                        answers, why = [], repr(e)
+                    else:
+                        why = f"{len(answers)} answers"
                     if len(answers) == len(part):
+                        answers = aligned(part["id"].tolist(), answers)
                         out += [{"id": k, "text": t, "_tag": tag, "has_cs": bool(a.get("has_cs")), "langs": a.get("langs") or [], "tokens": a.get("tokens") or [], "confidence": float(a.get("confidence") or 0)} for k, t, a in zip(part["id"], part["text"], answers)]
                         break
+                    if attempt == 2:
+                        logging.getLogger(__name__).warning("no annotations for %d rows from %s on: %s", len(part), part["id"].iloc[0], why)
+                    else:
+                        time.sleep(2**attempt)
             yield pd.DataFrame(out, columns=["id", "text", "_tag", "has_cs", "langs", "tokens", "confidence"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, CACHE_SCHEMA.removesuffix(", _seq bigint"))

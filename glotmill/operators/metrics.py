@@ -56,6 +56,17 @@ def subset_metrics(df: DataFrame, keys: list[str], true: str = "y_true", pred: s
     return averages(label_counts(df, keys, true, pred), keys).join(rows, keys).where(F.col("n_samples") >= least)
 
 
+def density_check(df: DataFrame, keys: list[str], pred: str = "y_pred", most: float = 10.0) -> DataFrame:
+    """Labels predicted a row, and whether they are few enough for a head that was loaded rightly."""
+    n = F.size(F.filter(F.col(pred), lambda x: x == 1))
+    return df.groupBy(*keys).agg(F.avg(n).alias("avg_pred_per_sample")).withColumn("plausible", F.col("avg_pred_per_sample") < most)
+
+
+def mean_ci_width(scores: DataFrame, metric: str = "macro_f1", subset: str = "subset") -> DataFrame:
+    """Mean width over models of each subset's interval (columns metric_lo and metric_hi); smaller differences are noise."""
+    return scores.groupBy(subset).agg(F.avg(F.col(f"{metric}_hi") - F.col(f"{metric}_lo")).alias("ci_width"))
+
+
 def sample_averages(df: DataFrame, keys: list[str], true: str = "y_true", pred: str = "y_pred") -> DataFrame:
     """M8: means over rows of a row's precision, recall and F1."""
     both = F.arrays_zip(F.col(true).alias("t"), F.col(pred).alias("p"))

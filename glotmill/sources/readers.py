@@ -147,12 +147,18 @@ def load_annotations(spark: SparkSession, path: str, split: str, text_col: str =
 
 
 def read_cache(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
-    """Annotation cache lines; malformed ones are dropped, of each (id, _tag) the last stays."""
+    """Annotation cache lines; malformed ones are dropped, of each (id, _tag) the last stays.
+
+    Entries that ``append_cache`` wrote are in the order of their runs. Lines without a run are older than those; among
+    them the time of the file counts, then its name and the place in it.
+    """
     from glotmill.operators.detect_v3 import CACHE_SCHEMA, keep_last
 
     rows = spark.read.schema(CACHE_SCHEMA).option("mode", "DROPMALFORMED").json(path).where("id is not null")
-    rows = rows.withColumn("_seq", F.coalesce("_seq", F.monotonically_increasing_id()))  # rises with files and lines
-    return keep_last(rows, tag)
+    # within a split of a file lines have rising ids; splits are told apart by where they start
+    place = [F.col(f"_metadata.{c}") for c in ("file_modification_time", "file_path", "file_block_start")]
+    rows = rows.withColumn("_seq", F.struct(F.coalesce("_seq", F.lit(-1)).alias("run"), *place, F.monotonically_increasing_id().alias("line")))
+    return keep_last(rows, tag).withColumn("_seq", F.col("_seq.run"))
 
 
 def read_lexicon(spark: SparkSession, path: str) -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ def write_report(sheets: dict[str, DataFrame], path: str, mode: str = "errorifex
         write_csv(rounded, f"{path}/{name[:31]}", mode)
 
 
-def append_cache(df: DataFrame, path: str) -> None:
-    """K8."""
-    df.write.mode("append").json(path)
+def append_cache(df: DataFrame, path: str, run: int | None = None) -> None:
+    """K8: adds entries to a cache; ``run`` (by default the time in milliseconds) orders them after those of earlier runs."""
+    df.drop("_seq").withColumn("_seq", F.lit(time.time_ns() // 1_000_000 if run is None else run).cast("long")).write.mode("append").json(path)
 
 
 def prediction_columns(df: DataFrame, names: list[str], id_col: str = "id") -> DataFrame:

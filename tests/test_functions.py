@@ -99,3 +99,33 @@ def test_responses(spark):
     mock = lambda texts: [{"has_cs": "a" in t, "confidence": 1.0} for t in texts]
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
     assert {r.id: r.has_cs for r in detect_v3.annotate_with(df, mock, "m").collect()} == {"1": True, "2": False}
+
+
+def test_answers_by_id(spark):
+    """Answers in another order go to the rows whose id they carry; a backend that fails once is asked again."""
+    calls = []
+
+    def backend(texts):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("busy")
+        return [{"id": str(t == "a" and 1 or 2), "has_cs": t == "a"} for t in reversed(texts)]
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string").coalesce(1)
+    assert {r.id: r.has_cs for r in detect_v3.annotate_with(df, backend, "m").collect()} == {"1": True, "2": False}
+    assert detect_v3.aligned(["7", "8"], [{"id": "x", "n": 1}, {"id": "7", "n": 2}]) == [{"id": "7", "n": 2}, {"id": "7", "n": 2}]
+    prompt = detect_v3.prompt_of([("1", "a\nb")], [("x", {"has_cs": False})])
+    assert '{"id": "1", "text": "a\\nb"}' in prompt and "1 objects" in prompt
+
+
+def test_strict_labels(spark):
+    import pytest
+
+    from glotmill.functions.labels import strict_label_vector
+
+    vector = lambda x: one(spark, x, lambda c: strict_label_vector(c, 4))
+    assert [vector(x) for x in ("3", "-4", "4", "[]", "[2, 9]", "(0,1)", "", None)] == [
+        [0, 0, 0, 1], [1, 0, 0, 0], [0] * 4, [0] * 4, [0, 0, 1, 0], [1, 1, 0, 0], [0] * 4, [0] * 4
+    ]
+    with pytest.raises(Exception, match="no label number"):
+        vector("[1, joy]")
