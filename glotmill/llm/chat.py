@@ -1,10 +1,15 @@
 """Chat formatting by quotation linking.
 
-Messages quote others by leading ``>`` marks, one per level. Each quoted line is normalised (marks, case and repeated
-white space go) and hashed; a join with the hashes of the unquoted lines of earlier messages of the conversation finds
-where it was said first-hand. A message replies to the message that most of its outermost quoted lines come from (the
-later one, where two give as many); without a link it starts a thread of its own. Messages then stand in reply order,
-each after the one it replies to, and their texts no longer hold the quotes.
+Messages quote others by leading ``>`` marks, one per level. Consecutive lines of one level are a passage; its marks,
+case and white space go, line breaks included, so that it reads the same however a mail program wrapped it. Passages and
+what messages say first-hand are compared by hashes of their pieces: every run of ``WINDOW`` words, and for shorter
+passages the whole, which must be a line, a sentence or a paragraph of the other message. A join of the hashes within
+each conversation finds who said a piece first, before the quoting message; a short piece that several messages say
+links to nobody. A passage is linked to the message that most of its pieces come from, if that is half of them at least.
+
+A message replies to the message that most pieces of its outermost linked passages come from (the later one, where two
+give as many); without a link it starts a thread of its own. Messages then stand in reply order, each after the one it
+replies to, and their texts no longer hold the quotes.
 """
 
 from __future__ import annotations
@@ -13,42 +18,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotmill.llm.common import cut_lineage
+from glotmill.llm.spans import let
 
-MARKS = r"^[\x20\t]*((?:>[\x20\t]?)+)"
+#: Single characters only, as Java's engine calls itself once per turn of a longer group.
+MARKS = r"^[\x20\t]*+(>[>\x20\t]*+)"
+WINDOW, SALTS = 5, 16
 
 
 def quote_level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), r"[^>]", ""))
 
 
-def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), r"[\x20\x09-\x0D]+", " ")))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
 
 
-def parse(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """(conv, turn, level, hash, at) for every line that is not blank; a line's hash covers its whole content."""
-    lines = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("at", "line"))
-    found = lines.select("conv", "turn", "at", quote_level(F.col("line")).alias("level"), normal_line(F.col("line")).alias("plain")).where("plain <> ''")
-    return found.select("conv", "turn", "at", "level", F.sha2("plain", 256).alias("hash"))
+def normal(text: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
+
+
+def paragraphs(lines: Column) -> Column:
+    """Normalised stretches between blank lines."""
+    return F.filter(F.transform(F.split(F.array_join(lines, "\n"), r"\n[\x20\t]*(?=\n)"), normal), lambda p: p != "")
+
+
+def first_hand(text: Column) -> Column:
+    """The lines of a text, quoted ones blank."""
+    return F.transform(lines_of(text), lambda line: F.when(line.rlike(MARKS), F.lit("")).otherwise(line))
+
+
+def passages(text: Column) -> Column:
+    """Quoted passages as structs of level and normalised text."""
+    marked = F.transform(lines_of(text), lambda line: F.struct(quote_level(line).alias("level"), F.regexp_replace(line, MARKS, "").alias("line")))
+
+    def of_levels(rows: Column) -> Column:
+        levels = F.filter(F.array_distinct(F.transform(rows, lambda m: m["level"])), lambda n: n > 0)
+        of_level = lambda n: paragraphs(F.transform(rows, lambda m: F.when(m["level"] == n, m["line"]).otherwise(F.lit(""))))
+        return F.flatten(F.transform(levels, lambda n: F.transform(of_level(n), lambda p: F.struct(n.alias("level"), p.alias("text")))))
+
+    return let(marked, of_levels)
+
+
+def pieces(text: Column) -> Column:
+    """Hashes of all runs of ``WINDOW`` words of a normalised text, or of the whole if it has fewer; with its length."""
+    def runs(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - WINDOW + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))
+
+    return F.array_distinct(let(F.split(text, " "), runs))
+
+
+def is_short(text: Column) -> Column:
+    return F.size(F.split(text, " ")) < WINDOW
+
+
+def said_pieces(text: Column) -> Column:
+    """Pieces that a message says first-hand: of its paragraphs, and its short lines and sentences whole."""
+    def both(own: Column, whole: Column) -> Column:
+        parts = F.concat(F.transform(own, normal), F.flatten(F.transform(whole, lambda p: F.split(p, r"(?<=[.!?])\x20"))))
+        short = F.transform(F.filter(parts, lambda p: (p != "") & is_short(p)), lambda p: F.xxhash64(p))
+        return F.array_distinct(F.concat(F.flatten(F.transform(whole, pieces)), short))
+
+    return let(first_hand(text), lambda own: let(paragraphs(own), lambda whole: both(own, whole)))
 
 
 def without_quotes(text: Column) -> Column:
     """The text without quoted lines and without blank space at either end."""
-    kept = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda line: ~line.rlike(MARKS))
+    kept = F.filter(lines_of(text), lambda line: ~line.rlike(MARKS))
     return F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", "")
 
 
 def reply_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, n_quoted, n_linked, reply_to) for messages that hold quotes."""
-    lines = parse(messages, conv, turn, text)
-    quoted = lines.where(F.col("level") > 0)
-    # the same line said again by later messages counts for the first that said it
-    said = lines.where(F.col("level") == 0).groupBy("conv", "hash").agg(F.min("turn").alias("source"))
-    met = quoted.join(said, ["conv", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
-    outer = met.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"), F.min(F.when(F.col("source").isNotNull(), F.col("level"))).alias("outer"))
-    votes = met.where("source is not null").groupBy("conv", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"))
-    chosen = votes.withColumnRenamed("level", "outer").join(outer.select("conv", "turn", "outer"), ["conv", "turn", "outer"]).groupBy("conv", "turn").agg(F.max(F.struct("n", "source")).alias("best"))
-    return outer.join(chosen, ["conv", "turn"], "left").select("conv", "turn", "n_quoted", "n_linked", F.col("best.source").alias("reply_to"))
+    """(conv, turn, n_quoted, n_linked, reply_to) for messages that hold quotes; n_ are numbers of passages."""
+    rows = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(text).alias("text"))
+    found = rows.where(F.col("text").rlike(f"(?m){MARKS}")).select("conv", "turn", F.posexplode(passages(F.col("text"))).alias("p", "q"))
+    quoted = cut_lineage(found.select("conv", "turn", "p", "q.level", is_short(F.col("q.text")).alias("short"), pieces(F.col("q.text")).alias("pieces")))
+    # only conversations with quotes matter; one that holds most messages meets its own by salt
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+    wanted = quoted.select("conv").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sources = rows.select("*", salt("turn")).join(wanted, ["conv", "salt"], "left_semi")
+    said = sources.select("conv", "turn", F.explode(said_pieces(F.col("text"))).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("source"), F.max("turn").alias("latest"))
+    asked = quoted.select("conv", "turn", "p", "level", "short", F.size("pieces").alias("n_pieces"), F.explode("pieces").alias("hash"))
+    met = asked.join(said, ["conv", "hash"]).where((F.col("source") < F.col("turn")) & (~F.col("short") | (F.col("source") == F.col("latest"))))
+    votes = met.groupBy("conv", "turn", "p", "level", "n_pieces", "source").agg(F.count(F.lit(1)).alias("n"))
+    linked = votes.groupBy("conv", "turn", "p", "level", "n_pieces").agg(F.max(F.struct("n", "source")).alias("best")).where(2 * F.col("best.n") >= F.col("n_pieces"))
+    linked = linked.select("conv", "turn", "level", "best.*")
+    # of the outermost level, the source with most pieces
+    outer = linked.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_linked"), F.min("level").alias("level"))
+    totals = linked.join(outer, ["conv", "turn", "level"]).groupBy("conv", "turn", "n_linked", "source").agg(F.sum("n").alias("n"))
+    chosen = totals.groupBy("conv", "turn", "n_linked").agg(F.max(F.struct("n", "source")).alias("best"))
+    counts = quoted.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_quoted"))
+    return counts.join(chosen, ["conv", "turn"], "left").select("conv", "turn", "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("best.source").alias("reply_to"))
 
 
 def reply_paths(parents: DataFrame) -> DataFrame:
@@ -98,3 +158,14 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
             F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), content, F.lit("\n")).alias("formatted"),
         )
     )
+
+
+def thread_texts(formatted: DataFrame) -> DataFrame:
+    """(conv_id, thread, n_messages, text): each thread of ``format_conversations`` as one text in reply order.
+
+    A thread's first turn names it. A thread is one row, so this is for threads that fit one; messages without a path
+    are left out, as they are in no thread.
+    """
+    rows = formatted.where("path is not null").withColumn("thread", F.split("path", "/")[0].cast("long"))
+    told = rows.groupBy("conv_id", "thread").agg(F.count(F.lit(1)).alias("n_messages"), F.array_sort(F.collect_list(F.struct("path", "formatted"))).alias("all"))
+    return told.select("conv_id", "thread", "n_messages", F.array_join(F.transform("all", lambda m: m["formatted"]), "").alias("text"))

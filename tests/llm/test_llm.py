@@ -412,6 +412,61 @@ def test_chat(spark):
     assert r[5].formatted == "<|user|>\n\n" and chat.format_conversations(df).count() == 7
 
 
+def test_chat_threads(spark):
+    """Generated threads: nested, re-wrapped, partial and interleaved quotes lead to the message that was answered."""
+    rng, rows, parents, bodies = random.Random(11), [], {}, {}
+    sentence = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(6, 20))) + "."
+
+    def wrapped(text, width):
+        out, line = [], ""
+        for word in text.split():
+            if len(line) + len(word) > width:
+                out, line = [*out, line], ""
+            line = f"{line} {word}".strip()
+        return [*out, line]
+
+    texts = {}
+    for conv in range(12):
+        for turn in range(12):
+            body = [sentence() for _ in range(rng.randrange(1, 4))]
+            bodies[conv, turn] = "\n\n".join("\n".join(wrapped(s, 60)) for s in body)
+            parent = rng.randrange(turn) if turn and rng.random() < 0.8 else None
+            if parent is None:
+                texts[conv, turn] = bodies[conv, turn]
+            elif rng.random() < 0.3:  # a stretch of one sentence
+                words = bodies[conv, parent].split("\n\n")[0].split()
+                cut = " ".join(words[: max(6, len(words) - 2)][-9:])
+                texts[conv, turn] = f"> {cut.upper()}\n{bodies[conv, turn]}"
+            else:
+                lines = [x for line in texts[conv, parent].split("\n") for x in ([line] if line.startswith(">") or not line else wrapped(line, 30))]
+                quote = "\n".join("> " + x for x in lines)
+                answer = bodies[conv, turn].split("\n\n")
+                texts[conv, turn] = "\n".join([answer[0], quote, *answer[1:]])
+            parents[conv, turn] = parent
+            rows.append((conv, turn, "user", texts[conv, turn]))
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r.conv_id, r.turn): r for r in out.collect()}
+    assert {k: r.reply_to for k, r in got.items()} == parents
+    assert all(">" not in r.content and r.content.split() == bodies[k].split() for k, r in got.items())
+    depth = lambda k: 0 if parents[k] is None else 1 + depth((k[0], parents[k]))
+    assert all(r.depth == depth(k) for k, r in got.items())
+    threads = chat.thread_texts(out).collect()
+    assert sum(t.n_messages for t in threads) == len(rows) and len(threads) == sum(p is None for p in parents.values())
+    for t in threads:
+        seen = [next(k[1] for k, b in bodies.items() if k[0] == t.conv_id and b.split() == part.split()) for part in t.text.split("<|user|>\n")[1:]]
+        assert seen[0] == t.thread and all(parents[t.conv_id, m] in seen[:i] for i, m in enumerate(seen) if i)
+
+
+def test_chat_edges(spark):
+    """Null, empty and very long texts, repeats, extra columns; a short line that two messages say links to neither."""
+    rows = [(1, 0, "Thanks"), (1, 1, "Thanks"), (1, 2, "> thanks\nyes"), (1, 2, "> thanks\nyes"), (1, None, "> Thanks"), (None, 3, "> Thanks"), (2, 0, None), (2, 1, ""), (2, 2, "a b " * 50_000), (2, 3, "> a b a b a b\n" + ">" * 3000 + " x")]
+    df = spark.createDataFrame([(*r, "user", "x", 1) for r in rows], "conv_id long, turn long, text string, role string, conv string, source int")
+    out = chat.format_conversations(df)
+    r = {(x.conv_id, x.turn): x for x in out.collect()}
+    assert out.count() == len(rows) and chat.format_conversations(df.where("false")).count() == 0
+    assert (r[1, 2].reply_to, r[1, 2].n_quoted, r[1, 2].n_linked) == (None, 2, 0) and r[2, 3].reply_to == 2 and r[2, 0].content == ""
+
+
 def test_pipeline(spark, sf):
     """Each stage on its own input: what it must drop goes, the rest stays."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
