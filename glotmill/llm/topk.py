@@ -29,29 +29,41 @@ SHARD, BLOCK, LEAF = 16_384, 4096, 256
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
     """(id, vec): floor(scale * x) of each component as packed 64-bit integers.
 
-    Vectors that are null or empty, or hold null, NaN or infinite components, take no part, nor do null ids.
+    Vectors that are null or empty, or hold null, NaN or infinite components, take no part, nor do null ids, nor
+    vectors with a component whose floor is beyond 64 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1)):
-                values = v.values if v.is_valid else None
-                if i is None or values is None or not len(values) or values.null_count:
-                    continue
-                x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(x).all():
-                    ids.append(i)
-                    out.append(np.floor(scale * x).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "vec"])
+            ids, vectors = b.column(0), b.column(1)
+            sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            x = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+            with np.errstate(invalid="ignore", over="ignore"):
+                x = np.floor(scale * x)
+                good = np.abs(x) < 2.0**63  # false for NaN and infinity
+            ends = np.cumsum(sizes)
+            bad = np.concatenate([[0], np.cumsum(~good)])
+            keep = (sizes > 0) & (bad[ends] == bad[ends - sizes]) & ids.is_valid().to_numpy(zero_copy_only=False)
+            whole = np.where(good, x, 0).astype(np.int64)
+            out = [whole[e - n : e].tobytes() for e, n in zip(ends[keep].tolist(), sizes[keep].tolist())]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep)), pa.array(out, pa.binary())], names=["id", "vec"])
 
     return table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, "id long, vec binary")
 
 
+def _largest(vectors: np.ndarray) -> int:
+    """Largest absolute component, as a Python integer (that of -2^63 has no 64-bit one)."""
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+
+
 class Tree:
-    """A KD-tree over distinct points; ids of equal points are kept together, ascending."""
+    """A KD-tree over distinct points; ids of equal points are kept together, ascending.
+
+    ``reach`` is the largest absolute component of the queries. Scores are whole numbers: doubles hold them exactly up
+    to 2^53, 64-bit integers up to 2^63, and where a score could be larger Python's integers are used.
+    """
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, reach: int | None = None):
         order = np.lexsort((ids, *points.T[::-1]))
         ids, points = ids[order], points[order]
         new = np.append(True, (points[1:] != points[:-1]).any(axis=1))
@@ -72,9 +84,10 @@ class Tree:
                 order = at[np.argsort(box[:, int(np.argmax(high[-1] - low[-1]))], kind="stable")]
                 todo += [(order[: at.size // 2], node), (order[at.size // 2 :], node)]
         self.rows, self.low, self.high = rows, np.array(low, dtype=np.float64), np.array(high, dtype=np.float64)
-        # scores are whole numbers; doubles hold them exactly up to 2^53, beyond that integers are used
-        top = float(np.abs(distinct).max(initial=0))
-        self.kind = np.float64 if top * top * distinct.shape[1] < 2**52 else np.int64
+        top = _largest(distinct)
+        most = top * (top if reach is None else reach) * distinct.shape[1]
+        self.scale = float(top)
+        self.kind = np.float64 if most < 2**52 else np.int64 if most < 2**63 else object
         self.points = [None if c else distinct[r].astype(self.kind) for r, c in zip(rows, self.children)]
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
@@ -87,7 +100,8 @@ class Tree:
         best: list[tuple[int, int]] = []
         q = query.astype(self.kind)
         queue = [(-bounds[0], 0)]
-        slack = 1e-9 * abs(bounds[0]) + (0 if self.kind is np.float64 else 1e-6 * abs(bounds[0]))
+        # bounds are doubles; as sums of products they may be off by rounding
+        slack = 1e-9 * self.scale * float(np.abs(query.astype(np.float64)).sum())
         while queue:
             bound, node = heapq.heappop(queue)
             if -bound + slack < floor:
@@ -100,7 +114,7 @@ class Tree:
             scores = self.points[node] @ q
             near = np.flatnonzero(scores >= floor)
             if near.size > k:
-                kth = np.partition(scores[near], near.size - k)[near.size - k]
+                kth = np.sort(scores[near])[near.size - k] if self.kind is object else np.partition(scores[near], near.size - k)[near.size - k]
                 near = near[scores[near] >= kth]
             for i in near.tolist():
                 r = self.rows[node][i]
@@ -127,15 +141,15 @@ def _search_group(points: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.Dat
     sizes_p, sizes_q = points["vec"].map(len), queries["vec"].map(len)
     for size in sorted(set(sizes_q) & set(sizes_p)):
         p, q = points[sizes_p == size], queries[sizes_q == size]
-        tree = Tree(p["id"].to_numpy(), _unpack(p["vec"]))
         vectors = _unpack(q["vec"])
+        tree = Tree(p["id"].to_numpy(), _unpack(p["vec"]), reach=_largest(vectors))
         for at in range(0, len(q), 512):
             block = vectors[at : at + 512]
             limits = tree.bounds(block)
             for j, (own, floor) in enumerate(zip(q["id"].iloc[at : at + 512].tolist(), q["floor"].iloc[at : at + 512].tolist())):
                 # one more than k, as the query itself may be among them
                 found = tree.search(block[j], limits[j], k + 1, -np.inf if np.isnan(floor) else floor)
-                out += [(own, -x, s) for s, x in sorted(found, reverse=True) if -x != own][:k]
+                out += [(own, -x, min(max(s, -(2**63)), 2**63 - 1)) for s, x in sorted(found, reverse=True) if -x != own][:k]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
@@ -143,7 +157,8 @@ def exact_top_k(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     """query_id, rank (from 1), vec_id, score: the k best candidates by integer inner product, ties to smaller ids.
 
     Queries are the rows whose id satisfies ``is_query``; candidates are all rows but the query's own. Rows that repeat
-    an id with the same vector are one row. With fewer than k candidates all are returned; without queries or usable
+    an id with the same vector are one row; other rows with a query's id are its own. Scores beyond 64 bits are ranked
+    as such and given as the end of the range. With fewer than k candidates all are returned; without queries or usable
     vectors the result is empty; other columns are not read.
     """
     spark = table.sparkSession

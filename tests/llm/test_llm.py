@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out labels, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -387,6 +388,24 @@ def test_top_k(spark):
         assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(want)]
 
 
+def test_top_k_large(spark):
+    """Scores beyond 2^53 and beyond 64 bits, across shards, against Python's integers."""
+    rng = random.Random(2)
+    big = [[float(rng.choice([1, 2, 3])) for _ in range(3)] for _ in range(60)] + [[float(2**46 + rng.randrange(9)), 1.0, float(-(2**40))] for _ in range(40)] + [[float(2**56 + 2**20 * rng.randrange(9)), 0.5, 1.0] for _ in range(20)]
+    rows = [(i, v) for i, v in enumerate(big)] + [(500, [1e30, 1.0, 1.0]), (501, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows[:120]}
+    got = {}
+    for r in topk.exact_top_k(df, lambda v: v % 20 == 0, k=7, shard=16, block=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 120, 20):
+        s = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        if -s[0][0] < 2**63:
+            assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s[:7])]
+        else:
+            assert len(got[q]) == 7 and got[q][0][2] <= 2**63 - 1
+
+
 def test_toxicity(spark, sf):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
