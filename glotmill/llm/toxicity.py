@@ -99,6 +99,19 @@ def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], config: NnP
     return np.sort(found[best[z[best] >= config.min_z]])
 
 
+def slopes(sp: np.ndarray, su: np.ndarray, prior: float, config: NnPU) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the risk by the logits of a batch's toxic and unlabelled texts, whose sigmoids are ``sp`` and ``su``.
+
+    Sigmoid loss: s(z) as clean, 1 - s(z) as toxic; both have slope s(1 - s), of opposite sign. Where the estimated loss
+    on clean texts falls under -beta, the slopes are those of that estimate alone, times -gamma.
+    """
+    clean = su.mean() - prior * sp.mean()
+    slope_p, slope_u = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    if clean >= -config.beta:
+        return -2 * slope_p, slope_u
+    return config.gamma * slope_p, -config.gamma * slope_u
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, config: NnPU) -> Model:
     """Fits the weights; rows are arrays of feature hashes without repeats."""
     found = choose(positive, unlabelled, config)
@@ -123,13 +136,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         uc, ur = unl.take(rng.integers(0, len(unlabelled), n_unl))
         sp = _sigmoid(np.bincount(pr, w[pc], n_pos) + w[-1])
         su = _sigmoid(np.bincount(ur, w[uc], n_unl) + w[-1])
-        # sigmoid loss: s(z) as clean, 1 - s(z) as toxic; both have slope s(1 - s), of opposite sign
-        clean = su.mean() - prior * sp.mean()
-        slope_p, slope_u = prior * sp * (1 - sp) / n_pos, su * (1 - su) / n_unl
-        if clean >= -config.beta:
-            slope_p, slope_u = -2 * slope_p, slope_u
-        else:
-            slope_p, slope_u = config.gamma * slope_p, -config.gamma * slope_u
+        slope_p, slope_u = slopes(sp, su, prior, config)
         grad = np.append(np.bincount(pc, slope_p[pr], len(found)) + np.bincount(uc, slope_u[ur], len(found)), slope_p.sum() + slope_u.sum())
         grad[:-1] += config.decay * w[:-1]
         first = 0.9 * first + 0.1 * grad

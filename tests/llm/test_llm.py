@@ -45,6 +45,7 @@ def test_empty_tables(spark, empty):
     assert toxicity.with_scores(empty, model).count() == 0
     none = spark.createDataFrame([(1, None), (2, [1.0, None]), (3, [float("nan")]), (4, [])], "vec_id long, embedding array<double>")
     assert topk.exact_top_k(none, lambda v: v % 1 == 0).count() == 0
+    assert bpe.round_trip_digests(empty, bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).count() == 0
 
 
 def test_exact(odd):
@@ -418,6 +419,33 @@ def test_toxicity(spark, sf):
     assert len(out) == 1601 and sum((r.score >= 0.7) != (r.doc_id % 8 == 0) for r in tested) <= 0.02 * len(tested)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(-4, 4), min_size=1, max_size=6), st.lists(st.floats(-4, 4), min_size=1, max_size=6), st.floats(0.05, 0.5))
+def test_risk_slopes(zp, zu, prior):
+    """Slopes against differences of the risk, p R+(P) + R-(U) - p R-(P) above zero and its clean part turned round below."""
+    s = lambda z: 1 / (1 + np.exp(-np.asarray(z, dtype=float)))
+    config = toxicity.NnPU(gamma=0.5)
+    clean = lambda zp, zu: s(zu).mean() - prior * s(zp).mean()
+    negative = clean(zp, zu) < 0
+    risk = (lambda zp, zu: -0.5 * clean(zp, zu)) if negative else (lambda zp, zu: prior * (1 - s(zp)).mean() + clean(zp, zu))
+    got = np.concatenate(toxicity.slopes(s(zp), s(zu), prior, config))
+    both, h = [*zp, *zu], 1e-5
+    for i, slope in enumerate(got):
+        up, down = [[x + d * (j == i) for j, x in enumerate(both)] for d in (h, -h)]
+        want = (risk(up[: len(zp)], up[len(zp) :]) - risk(down[: len(zp)], down[len(zp) :])) / (2 * h)
+        assert abs(want - slope) < 1e-6
+
+
+def test_toxicity_edges(spark):
+    """Null, empty and very long texts and repeats are scored like others; a column with the score's name is replaced."""
+    rows = [(1, "bad words"), (1, "bad words"), (2, None), (None, ""), (3, "word " * 60_000)]
+    df = spark.createDataFrame([(*r, "x", 5.0) for r in rows], "doc_id long, text string, label string, score double")
+    model = toxicity.fit(df, spark.createDataFrame([(1, 1), (1, 1), (2, None), (9, 1)], "doc_id long, toxic int"))
+    out = toxicity.with_scores(df, model)
+    scores = [r.score for r in out.collect()]
+    assert out.columns == df.columns and len(scores) == len(rows) and all(0 <= x <= 1 for x in scores) and scores[2] == scores[3]
+
+
 def test_chat(spark):
     rows = [
         ("c", 0, "user", "Where is it?\nTell me."), ("c", 1, "assistant", "> Where is it?\nIn the box."), ("c", 2, "user", "Other matter."),
