@@ -528,3 +528,15 @@ def test_pipeline(spark, sf):
             docs = out
         else:
             assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_odd(spark, odd, tmp_path):
+    """Each stage on an empty table and on one with nulls, very long texts and repeats: no crash, columns kept."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.col("label").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    spark.createDataFrame([(3, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table, most in ((docs.where("false"), 0), (docs, len(TEXTS) + 2)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            table = stage(spark, table, str(tmp_path)).persist()
+            assert table.count() <= most or i == 4
+            assert i == 4 or table.columns == corpus_pipeline.COLUMNS
