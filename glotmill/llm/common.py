@@ -21,7 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glotmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="glotmill-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
