@@ -9,13 +9,27 @@ from glotmill.functions.text import fold_accents
 from glotmill.lexicon import LETTERS, NUCLEI, VIET_CHARS
 
 WORDISH = r"[\p{L}\p{N}_]"
-VIET = f"(?iu)[{VIET_CHARS}]"
+
+
+def _ranges(chars: str) -> str:
+    """Characters in either case as the ranges of a class: neighbours share a test, which a long list of single ones does not."""
+    points, runs = sorted({ord(c) for c in chars + chars.upper()}), []
+    for p in points:
+        if runs and runs[-1][1] == p - 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+VIET = f"[{_ranges(VIET_CHARS)}]"
 
 # Patterns of the detectors.
 URL = r"(?i)https?://\S+|www\.\S+"
-MENTION = rf"(?<!{WORDISH})@[\p{{L}}\p{{N}}_.]+"
-MENTION_V1 = rf"(?<!{WORDISH})@{WORDISH}+"
-HASHTAG = rf"(?<!{WORDISH})#{WORDISH}+"
+# What stands before the mark is looked at behind it, so that only marks are looked at.
+MENTION = rf"@(?<!{WORDISH}@)[\p{{L}}\p{{N}}_.]+"
+MENTION_V1 = rf"@(?<!{WORDISH}@){WORDISH}+"
+HASHTAG = rf"#(?<!{WORDISH}#){WORDISH}+"
 TAG = r"<[^>]{1,15}>"
 TOKEN = rf"[{LETTERS}]+(?:['\-][{LETTERS}]+)*|\p{{Nd}}+|[^\p{{L}}\p{{N}}_\s]"
 TOKEN_V1 = rf"[{LETTERS}]+(?:[\-'][{LETTERS}]+)?"
@@ -61,8 +75,8 @@ def diacritics(text: Column) -> Column:
 
 
 def is_plain_syllable(word: Column) -> Column:
-    """The syllable rule for lower-case words of a to z."""
-    return word.rlike(SYLLABLE) & F.regexp_extract(word, SYLLABLE, 2).isin(NUCLEI)
+    """The syllable rule for lower-case words of a to z; where nothing matches, the empty string is no nucleus."""
+    return F.regexp_extract(word, SYLLABLE, 2).isin(NUCLEI)
 
 
 def is_syllable(token: Column) -> Column:

@@ -36,8 +36,7 @@ def classify(word: Column, config: DetectorConfig = DetectorConfig()) -> Column:
     marked = low.isin(teen) if config.strict_teencode else low.isin(teen) | fold_accents(low).isin(teen)
     shape, known = some(T.is_plain_syllable), some(lambda w: w.isin(lexicon))
     return (
-        F.when(token.rlike(T.VIET), F.when(marked, "teencode").otherwise("vi"))
-        .when(~low.rlike("^[a-z]+$"), "other")
+        F.when(~low.rlike("^[a-z]+$"), F.when(token.rlike(T.VIET), F.when(marked, "teencode").otherwise("vi")).otherwise("other"))
         .when(T.is_laugh(low), "laugh")
         .when(some(lambda w: w.isin(teen)), "teencode")
         .when(low.isin(list(config.blacklist)), "vi")

@@ -129,3 +129,16 @@ def test_strict_labels(spark):
     ]
     with pytest.raises(Exception, match="no label number"):
         vector("[1, joy]")
+
+
+def test_faster_patterns(spark):
+    """The class of marked letters is the case-insensitive one; what stands before a mark counts wherever it is looked at."""
+    from glotmill.lexicon import VIET_CHARS
+
+    letters = spark.createDataFrame([(chr(i),) for i in range(1, 0x3000)], "c string")
+    assert letters.where(F.col("c").rlike(T.VIET) != F.col("c").rlike(f"(?iu)[{VIET_CHARS}]")).count() == 0
+    texts = ["@a b@c @@d #e f#g ##h é@i 😂@j 𝒜@k _@l .#m", "", "@", "#@a", "@a@b #c#d"]
+    before = {T.MENTION: r"(?<![\p{L}\p{N}_])@[\p{L}\p{N}_.]+", T.MENTION_V1: r"(?<![\p{L}\p{N}_])@[\p{L}\p{N}_]+", T.HASHTAG: r"(?<![\p{L}\p{N}_])#[\p{L}\p{N}_]+"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for now, then in before.items():
+        assert [r[0] for r in df.select(T.every(F.col("t"), now)).collect()] == [r[0] for r in df.select(T.every(F.col("t"), then)).collect()]
