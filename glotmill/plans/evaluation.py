@@ -140,11 +140,22 @@ def paper_check(spark, sf):
     return metrics.paper_check(parts, spark.createDataFrame(_PUBLISHED, "arch string, scenario string, paper double"))
 
 
-@query()
+_MODELS = "mkqxyz"
+_SIX = f"""md(model) AS (VALUES {', '.join(f"('{m}')" for m in _MODELS)}), lb AS (SELECT doc_id, model, 0 AS label_id, quality AS y, {S.pseudo("' || model || '0")} AS p FROM labels CROSS JOIN md
+  UNION ALL SELECT doc_id, model, 1, toxic, {S.pseudo("' || model || '1")} FROM labels CROSS JOIN md), ev AS (SELECT *, 'all' AS subset FROM lb UNION ALL SELECT *, 'r' || (doc_id % 3) FROM lb)"""
+
+
+@query(f"""WITH {_SIX}, {S.counts(keys='model, subset')}, w AS (SELECT model, max(macro_f1) FILTER (WHERE subset = 'all') AS a, max(macro_f1) FILTER (WHERE subset = 'r0') AS r0, max(macro_f1) FILTER (WHERE subset = 'r1') AS r1 FROM mt GROUP BY model),
+g AS (SELECT model, 'r0-r1' AS gap, r0 - r1 AS value FROM w UNION ALL SELECT model, 'r0-all', r0 - a FROM w),
+d AS (SELECT gap, value, row_number() OVER (PARTITION BY gap ORDER BY model) - 1 AS i, 2 * rank() OVER (PARTITION BY gap ORDER BY abs(value)) + count(*) OVER (PARTITION BY gap, abs(value)) - 1 AS r2 FROM g WHERE value <> 0),
+st AS (SELECT gap, least(sum(r2 * (value > 0)::INT), sum(r2 * (value < 0)::INT)) AS low FROM d GROUP BY gap),
+signs AS (SELECT gap, s.pattern, sum(r2 * ((s.pattern >> d.i) & 1)) AS v FROM d CROSS JOIN range({2 ** len(_MODELS)}) s(pattern) GROUP BY gap, s.pattern),
+pv AS (SELECT gap, least(1, 2 * count_if(v <= low) / count(*)) AS p FROM signs JOIN st USING (gap) GROUP BY gap)
+SELECT gap, count(*)::INT AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count_if(value > 0)::INT AS positive, round(any_value(p), 6) AS p_value FROM g JOIN pv USING (gap) GROUP BY gap""")
 def signed_rank(spark, sf):
-    """Tests of subset gaps over six pseudo-models; the exact distribution has no SQL form and is tested on known values."""
-    parts = [metrics.subset_metrics(evaluated(spark, sf, m), ["subset"]).withColumn("model", F.lit(m)) for m in "mkqxyz"]
-    return resampling.signed_rank_table(metrics.gaps(reduce(DataFrame.unionByName, parts), [("r0", "r1"), ("r0", "all")]))
+    """Tests of subset gaps over six pseudo-models; the SQL lists all patterns of signs."""
+    parts = [metrics.subset_metrics(evaluated(spark, sf, m), ["subset"]).withColumn("model", F.lit(m)) for m in _MODELS]
+    return rounded(resampling.signed_rank_table(metrics.gaps(reduce(DataFrame.unionByName, parts), [("r0", "r1"), ("r0", "all")])), "mean", "sd", "p_value")
 
 
 # Training histories and model names
