@@ -12,7 +12,7 @@ from glotmill.functions import text as X
 from glotmill.lexicon import EMOJI_WORDS
 from glotmill.operators import detect_v3, metrics, resampling, stats, subsets
 from glotmill.plans import sql as S
-from glotmill.plans.reference import _scores_sql, docs, evaluated, pseudo, query, read, rounded, scores
+from glotmill.plans.reference import _COMMON, _TEEN, _scores_sql, docs, evaluated, pseudo, query, read, rounded, scores
 from glotmill.sources.readers import discover_models
 from glotmill.sources.writers import prediction_columns
 
@@ -209,6 +209,21 @@ def emoji_names(spark, sf):
     return spark.createDataFrame(_EMOJI_TEXTS, "id int, text string").select("id", X.replace_literals(F.col("text")).alias("named"))
 
 
+def _words_sql(text: str) -> str:
+    return rf"array_to_string(list_transform(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_À-ỹ]+|[^\p{{L}}\p{{N}}_À-ỹ]+'), lambda p: {_TEEN}), '')"
+
+
+def _spaces_sql(text: str) -> str:
+    return "trim(regexp_replace({}, '{}', ' ', 'g'))".format(text, X.SPACES.replace("]+", r"\x0b]+"))
+
+
+@query(f"""WITH {S.DOCS}, c AS (SELECT doc_id, {_COMMON.replace("coalesce(html, '')", "text")} AS text FROM docs), e AS (SELECT doc_id, text, {_EMOJI_SQL} AS named FROM c)
+SELECT doc_id, md5({_spaces_sql(_words_sql('text'))}) AS text_s1, md5({_spaces_sql(_words_sql('named'))}) AS text_s2, md5({_spaces_sql('text')}) AS text_s3 FROM e""")
+def scenario_texts(spark, sf):
+    """The three scenarios of every document; ``scenarios`` adds the model's form, which has no SQL."""
+    return X.with_scenarios(docs(spark, sf)).select("doc_id", *[F.md5(f"text_{k}").alias(f"text_{k}") for k in ("s1", "s2", "s3")])
+
+
 @query("SELECT page_id, md5('classification: ' || lower(coalesce(html, ''))) AS prefixed FROM pages")
 def task_prefix(spark, sf):
     """The lower-cased model form with a task prefix."""
