@@ -91,7 +91,10 @@ def review_sample(df: DataFrame, n: int = 200, low: int = 40, groups: int | None
     w = Window.partitionBy("cs_group").orderBy(shuffled(id_col, seed), id_col)
     first = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
     weak = df.where(F.col("llm_confidence").between(0.01, 0.7)).orderBy(shuffled(id_col, seed + 1), id_col).limit(low)
-    return first.unionByName(weak).dropDuplicates([id_col]).withColumns({"gold_has_cs": F.lit(""), "gold_lang": F.lit(""), "note": F.lit("")})
+    # of a row taken twice the group's share comes first, as where the two are read one after the other
+    both = first.withColumn("__part", F.lit(0)).unionByName(weak.withColumn("__part", F.lit(1)))
+    once = both.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy("__part", "cs_group"))).where(F.col("__r") == 1).drop("__part", "__r")
+    return once.withColumns({"gold_has_cs": F.lit(""), "gold_lang": F.lit(""), "note": F.lit("")})
 
 
 def disagreements(df: DataFrame, rule: str = "is_cs_rule", llm: str = "is_cs_strict", n: int = 200, id_col: str = "id") -> dict[str, DataFrame]:

@@ -95,6 +95,11 @@ def sample_averages(spark, sf):
     return rounded(metrics.sample_averages(evaluated(spark, sf), ["subset"]), "samples_precision", "samples_recall", "samples_f1")
 
 
+@query(f"WITH {S.EVAL}, r AS (SELECT subset, doc_id, sum((y = 1)::INT) AS gold FROM ev GROUP BY subset, doc_id) SELECT subset, round(avg(gold), 6) AS avg_gold_per_sample FROM r GROUP BY subset")
+def gold_per_sample(spark, sf):
+    return rounded(metrics.subset_metrics(evaluated(spark, sf), ["subset"], least=0), "avg_gold_per_sample").select("subset", "avg_gold_per_sample")
+
+
 _WRITTEN = "concat_ws(', ', CASE WHEN {0} = 1 THEN 'quality' END, CASE WHEN {1} = 1 THEN 'toxic' END)"
 
 
