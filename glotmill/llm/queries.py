@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the whole tables, and SQL for those that SQL can express."""
+"""The queries of the operators over the whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotmill.llm import bpe, chat, oracles, packing, token_counts, topk, toxicity
+from glotmill.llm import bpe, chat, collocations, mixing, oracles, packing, token_counts, topk, toxicity, whitening
 from glotmill.llm.common import held_out, shared_folder, table
 from glotmill.llm.exact_dedup import exact_groups
 from glotmill.llm.pii import KINDS, personal_spans
@@ -100,6 +100,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language of ``documents``; edge cases as in ``collocations.frequent_phrases``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every usable row of ``embeddings``; edge cases as in ``whitening.whiten``."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document a mix by target weights takes; edge cases as in ``mixing.mixture``."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -111,6 +126,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quotation_chat": op9_quotation_chat,
     "op10_kd_top_k": op10_kd_top_k,
+    "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_mixture": op13_mixture,
 }
-#: Training, fingerprints, tokenisers, co-occurrence terms and linking have no SQL form; tests hold them against brute force.
-ORACLES = {"op3_secret_scan": oracles.SECRETS, "op6_exact_dedup": oracles.EXACT, "op10_kd_top_k": oracles.TOP_K}
+#: Training, fingerprints, tokenisers, co-occurrence terms, linking and eigenvectors have no SQL form; tests hold them against brute force.
+ORACLES = {"op3_secret_scan": oracles.SECRETS, "op6_exact_dedup": oracles.EXACT, "op10_kd_top_k": oracles.TOP_K, "op11_collocations": oracles.COLLOCATIONS, "op13_mixture": oracles.MIXTURE}
