@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotmill.llm.common import cut_lineage
+from glotmill.llm.common import cut_lineage, cut_lineage_counted
 
 COMPONENTS, OVERSAMPLE, PASSES, TOLERANCE = 16, 10, 8, 1e-13
 
@@ -177,7 +177,8 @@ def whiten(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         return spark.createDataFrame([], schema)
     size = common["b"] // 8
     rows = rows.where(F.octet_length("x") == common["b"])
-    distinct = cut_lineage(rows.select("x").distinct())
+    # few rows in few tasks, as every task sends a matrix at every pass
+    distinct, _ = cut_lineage_counted(rows.select("x").distinct())
     n, sums = totals(distinct, size)
     mean = centring(n, sums)
     trace = _variance(distinct, n, mean, size)
