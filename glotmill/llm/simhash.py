@@ -133,18 +133,22 @@ def wide_fingerprint(text: str | None, size: int = 5) -> tuple[bytes, int]:
     return majority(np.frombuffer(joined, dtype=np.uint8).reshape(len(parts), WIDE // 8)).tobytes(), int(own)
 
 
+def text_check(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, node, f0, f1, f2, f3); texts with the same node have the same set of shingles."""
+    """(doc, check, node, f0, f1, f2, f3); texts with the same node have the same set of shingles, ``check`` tells texts of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [wide_fingerprint(t, size) for t in b.column(1).to_pylist()]
+            found = [wide_fingerprint(t, size) for t in b.column(2).to_pylist()]
             fps = np.frombuffer(b"".join(fp for fp, _ in found), dtype=np.int64).reshape(-1, 4)
             own = pa.array([own for _, own in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), own, *[pa.array(fps[:, i].copy()) for i in range(4)]], names=["doc", "node", *LANES])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), own, *[pa.array(fps[:, i].copy()) for i in range(4)]], names=["doc", "check", "node", *LANES])
 
-    schema = "doc long, node long, " + ", ".join(f"{x} long" for x in LANES)
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "doc long, check long, node long, " + ", ".join(f"{x} long" for x in LANES)
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_check(F.col(text_col)).alias("check"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _band_anchors(b: pa.RecordBatch, bands: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -328,7 +332,7 @@ def verified_links(rough: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 11, reach: int = 1, centres: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, component): documents in groups of two or more near copies, and the smallest id of the group.
+    """(doc, check, component, kept): documents in groups of two or more near copies, and the smallest id of the group.
 
     Two texts are near copies if their sets of shingles have the similarity. Fingerprints propose: those that differ
     in at most ``bits_at(similarity, 3.0)`` of 256 bits and meet at an anchor of some band (radius 3 plus ``reach``) fall
@@ -338,23 +342,32 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: float = 0.8, band
     different groups leave the join. Work at an anchor grows with the square of its fingerprints; more input wants
     longer anchors, at some cost of recall. What comparing a rough group costs, ``verified_links`` says.
 
-    Null ids are in no group. Texts without words are one group, as are texts with equal sets of shingles.
+    A document is an id and a text (``check`` hashes the text), so other texts of a repeated id have groups of their own.
+    ``kept`` is true for the document with the smallest id, then the smallest ``check``, of each group; rows that repeat
+    both id and text are one document. Null ids are in no group. Texts without words (null and empty ones too) are one
+    group, as are texts with equal sets of shingles. An empty table gives no rows; other columns are not read.
     """
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("check", text_check(F.col("text")))
     rows = cut_lineage(wide_fingerprints(texts, size, "doc"))
     # equal sets have equal fingerprints
-    nodes, _ = cut_lineage_counted(rows.groupBy("node").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]), PER_TASK)
+    nodes, _ = cut_lineage_counted(rows.groupBy("node").agg(F.min(F.struct("doc", "check")).alias("first"), F.count(F.lit(1)).alias("docs"), *[F.max(x).alias(x) for x in LANES]), PER_TASK)
     rough, _ = cut_lineage_counted(_rough_groups(nodes, bits_at(similarity, 3.0), bands, reach, centres))
     many = rough.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    asked = rough.join(many, "root", "left_semi").join(nodes, "node").select(F.col("first").alias("doc")).distinct()
-    sets = cut_lineage(shingle_sets(texts.join(asked, "doc", "left_semi"), size))
+    asked = rough.join(many, "root", "left_semi").join(nodes, "node").select("first.doc", "first.check").distinct()
+    sets = cut_lineage(shingle_sets(texts.join(asked, ["doc", "check"], "left_semi"), size))
     roots = connected_components(verified_links(rough, sets, similarity))
     named, _ = cut_lineage_counted(nodes.join(roots, "node", "left").select("node", "first", "docs", F.coalesce("root", "node").alias("root")))
     groups = named.groupBy("root").agg(F.min("first").alias("component"), F.sum("docs").alias("n")).where("n > 1").select("root", "component")
-    return rows.select("doc", "node").join(named.join(groups, "root").select("node", "component"), "node").select("doc", "component")
+    grouped = rows.select("doc", "check", "node").join(named.join(groups, "root").select("node", "component"), "node")
+    return grouped.select("doc", "check", F.col("component.doc").alias("component"), (F.struct("doc", "check") == F.col("component")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the document with the smallest id stays."""
-    gone = similar_groups(docs, size, similarity, id_col=id_col, text_col=text_col).where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` without near copies, with all their columns: of each group one document stays.
+
+    That is the one with the smallest id, then (of a repeated id with several near-equal texts) the smallest hash of the
+    text. Rows that repeat an id with an unrelated text are judged by their own text. Rows with a null id stay; rows that
+    repeat id and text share their fate. See ``similar_groups`` for null, empty and very long texts.
+    """
+    gone = similar_groups(docs, size, similarity, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc").alias("__gone"), F.col("check").alias("__check")).distinct()
+    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (text_check(docs[text_col]) == F.col("__check")), "left_anti")
