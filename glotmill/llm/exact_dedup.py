@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glotmill.llm.common import BLANKS, cut_lineage
 
-SALTS, HOT = 16, 1000
+SALTS, HOT, STEP = 16, 1000, 10_000
 
 
 def with_content(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,8 +46,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are identical without white space. Of equal texts the row with the most code points,
     then the smallest id, stays. Null and empty texts are one group. Rows that repeat an id with a text of the same
-    length and content share their fate; a row with a null id stays only if its whole group has null ids. An empty
-    table gives an empty result; other columns of ``docs`` are not read, so their names cannot clash.
+    length and content are equal in every column here; of such rows that win, one is kept. A row with a null id stays
+    only if its whole group has null ids. An empty table gives an empty result; other columns of ``docs`` are not read,
+    so their names cannot clash.
     """
     small = with_content(docs, id_col, text_col).select(
         "doc", "chars", "digest", F.xxhash64("content").alias("check"), F.length("content").alias("size")
@@ -60,19 +61,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small = small.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     w = w.withColumn("w_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     same = (F.col("digest") == F.col("w_digest")) & (F.col("check") == F.col("w_check")) & (F.col("size") == F.col("w_size")) & (F.col("salt") == F.col("w_salt"))
-    return small.join(w, same, "inner").select(
+    found = small.join(w, same, "inner").select(
         F.col("doc").alias("doc_id"), "keep_id", "group_size",
-        (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
+        (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("best"),
         F.col("digest").alias("text_sha256"),
     )
+    # equal rows are counted, and told out again with the first of the best kept; in steps, so that no array grows with them
+    counted = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {STEP}"))))
+    each = counted.withColumn("i", F.explode(F.sequence(F.col("step") * STEP, F.least(F.col("n"), (F.col("step") + 1) * STEP) - 1)))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("i") == 0)).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, one of each group, with all their columns.
 
     The semi join's key (id, length and content hash of the row that stays) is unique, so a group of copies that holds
-    a third of all rows puts no weight on one task. Rows that repeat an id with other content are told apart.
+    a third of all rows puts no weight on one task. Rows that repeat an id with other content are told apart; of those
+    that repeat id, length and content one stays, whichever it is.
     """
+    docs = without_repeats(docs, id_col, text_col)
     keep = winners(docs, id_col, text_col).select(F.col("keep_id").alias("__keep"), F.col("keep_chars").alias("__chars"), F.col("w_check").alias("__check"))
     text = F.coalesce(docs[text_col], F.lit(""))
     same = (F.length(text) == F.col("__chars")) & (F.xxhash64(F.regexp_replace(text, BLANKS, "")) == F.col("__check"))

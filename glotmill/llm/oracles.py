@@ -7,7 +7,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 EXACT = f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '{BLANKS}', '', 'g') AS c FROM documents),
 w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY c ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY c) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_sha256 FROM w
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY c ORDER BY chars DESC, doc_id) = 1 AS kept, sha256(c) AS text_sha256 FROM w
 """
 
 
