@@ -6,8 +6,9 @@ no point of a box scores over sum_i max(q_i low_i, q_i high_i), and a best-first
 once that bound is under the query's k-th score. The k-th score travels: each query first searches its own shard, and
 takes the score found there to all others, which then open only boxes that can still matter.
 
-Queries meet shards in blocks of at most about ``BLOCK`` queries, so a task holds one shard and one block. In high
-dimensions boxes prune little; then a traversal costs what a scan by matrix products costs.
+Each search is one shuffle: a shard's points come before its queries in a sorted partition, so that a task builds a
+shard's tree once and streams the queries past it. Memory holds one shard and one batch of queries. In high dimensions
+boxes prune little; then a traversal costs what a scan by matrix products costs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from glotmill.llm.common import cut_lineage
 
-SHARD, BLOCK, LEAF = 16_384, 4096, 256
+SHARD, LEAF = 16_384, 256
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -95,8 +96,8 @@ class Tree:
         q = queries.astype(np.float64)
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def search(self, query: np.ndarray, bounds: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The best k (score, -id) pairs that reach ``floor``, ties to smaller ids."""
+    def search(self, query: np.ndarray, bounds: np.ndarray, k: int, floor: float, own: int | None = None, owned: int = 0) -> list[tuple[int, int]]:
+        """The best k (score, -id) pairs that reach ``floor``, ties to smaller ids; not of id ``own``, which has ``owned`` points."""
         best: list[tuple[int, int]] = []
         q = query.astype(self.kind)
         queue = [(-bounds[0], 0)]
@@ -113,12 +114,14 @@ class Tree:
                 continue
             scores = self.points[node] @ q
             near = np.flatnonzero(scores >= floor)
-            if near.size > k:
-                kth = np.sort(scores[near])[near.size - k] if self.kind is object else np.partition(scores[near], near.size - k)[near.size - k]
+            if near.size > k + owned:
+                at = near.size - k - owned
+                kth = np.sort(scores[near])[at] if self.kind is object else np.partition(scores[near], at)[at]
                 near = near[scores[near] >= kth]
             for i in near.tolist():
                 r = self.rows[node][i]
-                for x in self.ids[self.starts[r] : self.starts[r + 1]][:k].tolist():
+                ids = self.ids[self.starts[r] : self.starts[r + 1]]
+                for x in (ids[ids != own] if owned else ids)[:k].tolist():
                     item = (int(scores[i]), -x)
                     if len(best) < k:
                         heapq.heappush(best, item)
@@ -135,54 +138,95 @@ def _unpack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(v, dtype=np.int64) for v in vectors])
 
 
-def _search_group(points: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Searches one shard for one block of queries; vectors of another length than a query's are not candidates."""
-    out: list[tuple[int, int, int]] = []
-    sizes_p, sizes_q = points["vec"].map(len), queries["vec"].map(len)
-    for size in sorted(set(sizes_q) & set(sizes_p)):
-        p, q = points[sizes_p == size], queries[sizes_q == size]
-        vectors = _unpack(q["vec"])
-        tree = Tree(p["id"].to_numpy(), _unpack(p["vec"]), reach=_largest(vectors))
-        for at in range(0, len(q), 512):
-            block = vectors[at : at + 512]
-            limits = tree.bounds(block)
-            for j, (own, floor) in enumerate(zip(q["id"].iloc[at : at + 512].tolist(), q["floor"].iloc[at : at + 512].tolist())):
-                # one more than k, as the query itself may be among them
-                found = tree.search(block[j], limits[j], k + 1, -np.inf if np.isnan(floor) else floor)
-                out += [(own, -x, min(max(s, -(2**63)), 2**63 - 1)) for s, x in sorted(found, reverse=True) if -x != own][:k]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-
-def exact_top_k(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+class Shard:
+    """One shard's points and their trees, a tree for each length of vector and reach of queries."""
+
+    def __init__(self):
+        self.ids: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.trees: dict[tuple[int, int], Tree] = {}
+
+    def add(self, points: pd.DataFrame) -> None:
+        self.ids.append(points["id"].to_numpy())
+        self.vectors.append(points["vec"].to_numpy())
+
+    def tree(self, size: int, reach: int) -> Tree | None:
+        # queries' reach is rounded up to a power of two, so that batches share a tree
+        key = size, 1 << max(reach, 1).bit_length()
+        if key not in self.trees:
+            ids, vectors = np.concatenate(self.ids), np.concatenate(self.vectors)
+            fit = np.array([len(v) == size for v in vectors], bool)
+            self.trees[key] = Tree(ids[fit], _unpack(vectors[fit]), reach=key[1]) if fit.any() else None
+        return self.trees[key]
+
+    def search(self, queries: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
+        """(query, point, score): vectors of another length than a query's are not candidates, nor are points of its id."""
+        out: list[tuple[int, int, int]] = []
+        sizes = queries["vec"].map(len)
+        for size in sorted(set(sizes)) if self.ids else []:
+            q = queries[sizes == size]
+            vectors = _unpack(q["vec"])
+            if (tree := self.tree(size, _largest(vectors))) is None:
+                continue
+            for at in range(0, len(q), 512):
+                block = vectors[at : at + 512]
+                limits = tree.bounds(block)
+                rows = q.iloc[at : at + 512]
+                for j, (own, floor, owned, times) in enumerate(zip(rows["id"].tolist(), rows["floor"].tolist(), rows["owned"].tolist(), rows["times"].tolist())):
+                    found = tree.search(block[j], limits[j], k, -np.inf if np.isnan(floor) else floor, own, owned)
+                    out += [(own, -x, min(max(s, -(2**63)), 2**63 - 1)) for s, x in sorted(found, reverse=True)] * times
+        return out
+
+
+def _searched(points: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
+    """(query_id, vec_id, score) of every query (id, vec, owned, times, floor, shard) in its shard."""
+    none = [F.lit(0).alias("owned"), F.lit(0).alias("times"), F.lit(None).cast("double").alias("floor")]
+    rows = points.select("shard", F.lit(0).alias("asks"), "id", "vec", *none)
+    rows = rows.unionByName(queries.select("shard", F.lit(1).alias("asks"), "id", "vec", "owned", "times", "floor"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, Shard()
+        for b in batches:
+            out: list[tuple[int, int, int]] = []
+            for (at, asks), g in b.to_pandas().groupby(["shard", "asks"], sort=True):
+                if at != now:
+                    now, shard = at, Shard()
+                if asks:
+                    out += shard.search(g, k)
+                else:
+                    shard.add(g)
+            columns = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "asks").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def exact_top_k(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates by integer inner product, ties to smaller ids.
 
-    Queries are the rows whose id satisfies ``is_query``; candidates are all rows but the query's own. Rows that repeat
-    an id with the same vector are one row; other rows with a query's id are its own. Scores beyond 64 bits are ranked
-    as such and given as the end of the range. With fewer than k candidates all are returned; without queries or usable
-    vectors the result is empty; other columns are not read.
+    Queries are the rows whose id satisfies ``is_query``; candidates are all rows but those with the query's id. Every
+    row counts: a repeated candidate is found as often as it is there, and pairs of rows that share a query's id,
+    repeated or with other vectors, are ranked together. Scores beyond 64 bits are ranked as such and given as the end of
+    the range. With fewer than k candidates all are returned; without queries or usable vectors the result is empty;
+    other columns are not read.
     """
-    spark = table.sparkSession
-    vectors = cut_lineage(integer_vectors(table, id_col, vector_col).dropDuplicates(["id", "vec"]))
-    n, asked = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(is_query(F.col("id")).cast("long")), F.lit(0))).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked // block))
-    vectors = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    queries = vectors.where(is_query(F.col("id"))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
-    result = "query_id long, vec_id long, score long"
-
-    def search(_key, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        return _search_group(points, asked, k)
-
-    own = queries.withColumn("floor", F.lit(None).cast("double"))
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731  both sides come from one table
-    own = fresh(own)
-    home = cut_lineage(vectors.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(search, result))
-    kth = home.withColumn("r", F.row_number().over(_ranking())).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    others = queries.join(kth, F.col("id") == F.col("query_id"), "left").select(
-        "id", "vec", "floor", "block", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array("shard"))).alias("shard")
-    )
-    spread = fresh(vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    away = spread.groupBy("shard", "block").cogroup(others.groupBy("shard", "block")).applyInPandas(search, result)
-    every = home.unionByName(away) if shards > 1 else home
+    # of equal rows no more than k can matter to any query, so a vector that is there very often weighs little
+    copies = F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times")
+    distinct = cut_lineage(integer_vectors(table, id_col, vector_col).groupBy("id", "vec").agg(copies))
+    n = distinct.agg(F.sum("times")).first()[0] or 0
+    shards = max(1, -(-n // shard))
+    distinct = distinct.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    points = distinct.select("shard", "id", "vec", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    asked = distinct.where(is_query(F.col("id")))
+    # all vectors of an id are in its shard; a query's own are no candidates there
+    queries = asked.join(asked.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("owned")), "id")
+    home = cut_lineage(_searched(points, queries.withColumn("floor", F.lit(None).cast("double")), k, shards))
+    every = home
+    if shards > 1:
+        kth = home.withColumn("r", F.row_number().over(_ranking())).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor"))
+        others = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array("shard"))).alias("shard")
+        away = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "vec", F.lit(0).alias("owned"), "times", "floor", others)
+        every = home.unionByName(_searched(points, away, k, shards))
     ranked = every.withColumn("rank", F.row_number().over(_ranking())).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
