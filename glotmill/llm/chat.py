@@ -169,3 +169,28 @@ def thread_texts(formatted: DataFrame) -> DataFrame:
     rows = formatted.where("path is not null").withColumn("thread", F.split("path", "/")[0].cast("long"))
     told = rows.groupBy("conv_id", "thread").agg(F.count(F.lit(1)).alias("n_messages"), F.array_sort(F.collect_list(F.struct("path", "formatted"))).alias("all"))
     return told.select("conv_id", "thread", "n_messages", F.array_join(F.transform("all", lambda m: m["formatted"]), "").alias("text"))
+
+
+def answered(conv: Column, turn: Column) -> Column:
+    """The turn that a message answers, by a hash of its place: none, the one before it, or the one before that."""
+    h = F.pmod(F.xxhash64(conv, turn), F.lit(4))
+    return F.when((h > 0) & (turn > 0), turn - F.when((h == 3) & (turn > 1), 2).otherwise(1))
+
+
+def with_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """``messages`` with their texts as mail programs would send them, below the whole text of what they answer.
+
+    For tables whose messages hold no quotes: ``answered`` says which message each one answers, and one level deeper
+    stands the message that that one answers. Rows, columns and null texts of messages that answer nobody stay; of a
+    repeated place the smallest text is quoted, and a place without a message is not.
+    """
+    said = messages.groupBy(F.col(conv).alias("__c"), F.col(turn).alias("__t")).agg(F.min(text).alias("__said"))
+    of = lambda n: said.select(F.col("__c").alias(f"__c{n}"), F.col("__t").alias(f"__t{n}"), F.col("__said").alias(f"__said{n}"))
+    first = answered(F.col(conv), F.col(turn))
+    rows = messages.withColumns({"__up1": first, "__up2": answered(F.col(conv), first)})
+    for n in (1, 2):
+        rows = rows.join(of(n), (F.col(conv) == F.col(f"__c{n}")) & (F.col(f"__up{n}") == F.col(f"__t{n}")), "left")
+    quote = lambda body, marks: F.array_join(F.transform(lines_of(body), lambda line: F.concat(F.lit(marks), line)), "\n")
+    deep, near = F.when(F.col("__said2").isNotNull(), quote(F.col("__said2"), ">> ")), F.when(F.col("__said1").isNotNull(), quote(F.col("__said1"), "> "))
+    whole = F.when(F.col("__said1").isNull(), F.col(text)).otherwise(F.concat_ws("\n", deep, near, F.lit(""), F.coalesce(F.col(text), F.lit(""))))
+    return rows.withColumn("__whole", whole).select(*[F.col("__whole").alias(c) if c == text else F.col(c) for c in messages.columns])

@@ -20,6 +20,7 @@ TOXIC = 0.7
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the held-out fold; edge cases as in ``toxicity.with_scores``."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.with_scores(docs.select("doc_id", "text"), model)
@@ -27,6 +28,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; edge cases as in ``simhash.near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -61,6 +63,7 @@ def definition(name: str) -> str:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests; edge cases as in ``bpe.round_trip_digests``."""
     from public_tokenizers import PATTERN
 
     entries = bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
@@ -68,10 +71,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence; edge cases as in ``packing.pack_documents``."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), definition("word_bpe_49k.json"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; edge cases as in ``token_counts.token_counts``."""
     from public_tokenizers import PATTERN
 
     docs = table(spark, sf_dir, "documents")
@@ -79,14 +84,23 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quotation_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order and without its quotes; edge cases as in ``chat.format_conversations``."""
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole threads of the conversations, after their messages have been made to quote what they answer."""
+    told = chat.thread_texts(chat.format_conversations(chat.with_quotes(table(spark, sf_dir, "conversations"))))
+    return told.select("conv_id", "thread", "n_messages", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of every 20th vector; edge cases and repeated rows as in ``topk.exact_top_k``."""
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document; edge cases as in ``pii.personal_spans``."""
     found = personal_spans(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("doc").alias("doc_id"),
@@ -97,6 +111,7 @@ def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays for every document; edge cases and repeated rows as in ``exact_dedup.exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
@@ -129,6 +144,7 @@ QUERIES = {
     "op11_collocations": op11_collocations,
     "op12_whitening": op12_whitening,
     "op13_mixture": op13_mixture,
+    "quoted_threads": quoted_threads,
 }
 #: Training, fingerprints, tokenisers, co-occurrence terms, linking and eigenvectors have no SQL form; tests hold them against brute force.
 ORACLES = {"op3_secret_scan": oracles.SECRETS, "op6_exact_dedup": oracles.EXACT, "op10_kd_top_k": oracles.TOP_K, "op11_collocations": oracles.COLLOCATIONS, "op13_mixture": oracles.MIXTURE}

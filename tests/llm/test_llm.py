@@ -55,7 +55,7 @@ def test_exact(odd):
     assert (by[8].keep_id, by[8].kept, by[9].kept, by[10].group_size) == (9, False, True, 3)
     assert (by[0].keep_id, by[0].group_size, by[2].kept) == (2, 3, True)
     kept = exact_dedup.drop_exact_copies(odd)
-    assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [2, 3, 3, 4, 5, 6, 7, 9, 11, 12]
+    assert kept.columns == odd.columns and sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == [2, 3, 4, 5, 6, 7, 9, 11, 12]
 
 
 def spans_by_re(text):
@@ -380,12 +380,12 @@ def test_top_k(spark):
     points[100:250] = points[0]  # ties
     df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(900, [1.0]), (7, [float(x) for x in points[7]])], "vec_id long, embedding array<double>")
     got = {}
-    for r in topk.exact_top_k(df, lambda v: v % 20 == 0, k=5, shard=64, block=8).collect():
+    for r in topk.exact_top_k(df, lambda v: v % 20 == 0, k=5, shard=64).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     v = np.floor(64 * points).astype(int)
     for q in range(0, 400, 20):
         s = v @ v[q]
-        want = sorted((-int(x), i) for i, x in enumerate(s) if i != q)[:5]
+        want = sorted((-int(x), i) for i, x in [*enumerate(s), (7, s[7])] if i != q)[:5]
         assert sorted(got[q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(want)]
 
 
@@ -397,7 +397,7 @@ def test_top_k_large(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     whole = {i: [math.floor(64 * x) for x in v] for i, v in rows[:120]}
     got = {}
-    for r in topk.exact_top_k(df, lambda v: v % 20 == 0, k=7, shard=16, block=4).collect():
+    for r in topk.exact_top_k(df, lambda v: v % 20 == 0, k=7, shard=16).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     for q in range(0, 120, 20):
         s = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
@@ -407,6 +407,54 @@ def test_top_k_large(spark):
             assert len(got[q]) == 7 and got[q][0][2] <= 2**63 - 1
 
 
+def by_sql(sql, **tables):
+    import duckdb
+
+    c = duckdb.connect()
+    for name, df in tables.items():
+        c.register(name, df.toArrow())
+    out = c.execute(sql)
+    names = [d[0] for d in out.description]
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(r[i] for i in order) for r in out.fetchall()), key=str)
+
+
+def plain(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("shard", [5, 1000])
+def test_top_k_repeats(spark, shard):
+    """Repeated rows, ids with several vectors and null ids, as candidates and as queries, equal to the SQL."""
+    rng = random.Random(shard)
+    rows = [(rng.randrange(50), [float(rng.randrange(4)), float(rng.randrange(3))]) for _ in range(150)]
+    rows += [(20, [1.0, 2.0])] * 30 + [(7, [3.0, 2.0])] * 40 + [(None, [3.0, 2.0])] * 3 + [(40, None), (60, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert plain(topk.exact_top_k(df, lambda v: v % 20 == 0, shard=shard)) == by_sql(queries.oracles.TOP_K, embeddings=df)
+
+
+def test_exact_repeats(spark, odd, monkeypatch):
+    """One row of each group is kept, whatever repeats, equal to the SQL."""
+    monkeypatch.setattr(exact_dedup, "STEP", 3)
+    rows = [(1, "x yz"), (2, "xyz"), (3, "a b"), (3, "ab "), (3, "other"), (None, "n"), (None, "n"), (None, "n "), (4, None), (5, "once"), (None, "ab")] * 5
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), odd):
+        got = exact_dedup.exact_groups(df)
+        assert plain(got) == by_sql(queries.oracles.EXACT, documents=df)
+        assert got.where("kept").count() == got.select("text_sha256").distinct().count() == exact_dedup.drop_exact_copies(df).count()
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of one id are judged each by its own text: a near copy goes, an unrelated text stays."""
+    base = [f"w{i}" for i in range(300)]
+    near, other = " ".join([*base[:150], "changed", *base[151:]]), " ".join(base[::-1])
+    rows = [(5, " ".join(base)), (7, near), (7, other), (8, near), (8, " ".join(base)), (9, None), (9, ""), (9, "alone"), (None, near)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, check string")
+    kept = sorted((str(r.doc_id), r.text or "") for r in simhash.drop_near_copies(df).collect())
+    assert kept == sorted([("5", " ".join(base)), ("7", other), ("9", ""), ("9", ""), ("9", "alone"), ("None", near)])
+    two = spark.createDataFrame([(3, near), (3, " ".join(base)), (3, other)], "doc_id long, text string")
+    assert {r.text == other for r in simhash.drop_near_copies(two).collect()} == {True, False} and simhash.drop_near_copies(two).count() == 2
+
+
 def test_toxicity(spark, sf):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -514,6 +562,50 @@ def test_chat_edges(spark):
     assert (r[1, 2].reply_to, r[1, 2].n_quoted, r[1, 2].n_linked) == (None, 2, 0) and r[2, 3].reply_to == 2 and r[2, 0].content == ""
 
 
+def replies_by_hand(messages):
+    """{(conv, turn): reply_to} of (conv, turn, text), by the module's definitions in plain Python."""
+    blank = lambda s: " ".join(re.split(r"[\x20\x09-\x0D]+", s)).strip(" ").lower()
+    marks = lambda line: (m[1].count(">") if (m := re.match(r"[ \t]*(>[> \t]*)", line)) else 0)
+    bare = lambda line: re.sub(r"^[ \t]*>[> \t]*", "", line)
+    paragraphs = lambda lines: [p for p in map(blank, re.split(r"\n[ \t]*(?=\n)", "\n".join(lines))) if p]
+    runs = lambda p: {" ".join(p.split(" ")[i : i + 5]) for i in range(max(1, len(p.split(" ")) - 4))}
+    short = lambda p: len(p.split(" ")) < 5
+    said = {}
+    for conv, turn, text in messages:
+        own = ["" if marks(x) else x for x in re.split(r"\r?\n", text or "")]
+        whole = paragraphs(own)
+        parts = [*map(blank, own), *[s for p in whole for s in re.split(r"(?<=[.!?]) ", p)]]
+        for piece in {x for p in whole for x in runs(p)} | {p for p in parts if p and short(p)}:
+            said.setdefault((conv, piece), set()).add(turn)
+    out = {}
+    for conv, turn, text in messages:
+        lines, votes = re.split(r"\r?\n", text or ""), []
+        for level in sorted({marks(x) for x in lines} - {0}):
+            for p in paragraphs([bare(x) if marks(x) == level else "" for x in lines]):
+                seen = [min(s) for x in runs(p) if (s := said.get((conv, x))) and min(s) < turn and (not short(p) or len(s) == 1)]
+                best = max(((seen.count(s), s) for s in set(seen)), default=(0, None))
+                if best[0] and 2 * best[0] >= len(runs(p)):
+                    votes.append((level, *best))
+        outer = [(n, s) for level, n, s in votes if level == min(votes)[0]]
+        out[conv, turn] = max(((sum(n for n, x in outer if x == s), s) for _, s in outer), default=(0, None))[1]
+    return out
+
+
+def test_links_of_the_given_conversations(spark, sf):
+    """Messages made to quote what they answer, against a linker that looks at every message of a conversation."""
+    messages = chat.with_quotes(spark.read.parquet(f"{sf}/conversations.parquet"))
+    rows = [(r.conv_id, r.turn, r.text) for r in messages.collect()]
+    out = chat.format_conversations(messages)
+    found = {(r.conv_id, r.turn): r.reply_to for r in out.collect()}
+    assert found == replies_by_hand(rows)
+    answers = spark.createDataFrame([(c, t) for c, t, _ in rows], "c long, t long").select("c", "t", chat.answered(F.col("c"), F.col("t")).alias("up")).collect()
+    linked = [(found[r.c, r.t], r.up) for r in answers if r.up is not None]
+    # texts that several messages share can't tell whom a message answers
+    assert len(linked) > 30 and sum(a == b for a, b in linked) >= 0.8 * len(linked)
+    threads = chat.thread_texts(out).collect()
+    assert sum(t.n_messages for t in threads) == len(rows) and not any(line.startswith(">") for t in threads for line in t.text.split("\n"))
+
+
 def test_pipeline(spark, sf):
     """Each stage on its own input: what it must drop goes, the rest stays."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
