@@ -20,24 +20,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored under ``TOXIC``; null and empty texts are scored like others, repeated rows alike."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, model, "__score").where(F.col("__score") < TOXIC).select(*COLUMNS)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_exact_copies(exact_dedup.without_repeats(docs.select(*COLUMNS)))
+    """One row of each group of texts that are equal without white space; see ``exact_dedup.exact_groups`` for edges."""
+    return exact_dedup.drop_exact_copies(docs.select(*COLUMNS))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; see ``simhash.drop_near_copies`` for repeated and null ids."""
     return simhash.drop_near_copies(docs).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that give it away generalised, every row kept; ``n_chars`` is counted anew (null text: null)."""
     clean = pii.sanitise(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence; null texts hold the end token only."""
     return packing.pack_documents(docs, definition("word_bpe_49k.json"))
 
 
@@ -49,7 +54,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: Training a classifier and packing have no SQL form; tests hold the stages against brute-force versions.
+#: Training a classifier and packing have no SQL form. Tests hold exact copies, near copies, personal data and packing
+#: against brute-force versions, and toxicity against labels.
 ORACLE_SQL = None
 
 
