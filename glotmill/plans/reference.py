@@ -11,7 +11,7 @@ from glotmill.functions import text as X
 from glotmill.functions import tokens as T
 from glotmill.functions.labels import multi_hot, parse_label_list, primary_label
 from glotmill.lexicon import TEEN_WORDS
-from glotmill.operators import detect_v1, detect_v2, detect_v3, metrics, resampling, stats, subsets
+from glotmill.operators import detect_v1, detect_v2, detect_v3, metrics, stats, subsets
 from glotmill.plans import sql as S
 
 QUERIES: dict = {}
@@ -422,16 +422,6 @@ def gaps(spark, sf):
     return rounded(metrics.gaps(scores(spark, sf), [("r0", "r1"), ("r0", "all")]), "value").select("model", "gap", "value")
 
 
-@query()
-def bootstrap_ci(spark, sf):
-    return resampling.bootstrap_ci(evaluated(spark, sf))
-
-
-@query()
-def permutation_test(spark, sf):
-    return resampling.permutation_test(evaluated(spark, sf), [("r0", "r1"), ("r0", "r2"), ("all", "r0")])
-
-
 # Lengths and equality
 
 

@@ -49,8 +49,8 @@ def test_resampling_sizes(spark, sf, monkeypatch):
     """The registered queries draw as often as the operators' defaults: 1,000 replicates, 2,000 permutations."""
     from glotmill.operators import resampling
 
-    drawn, whole = [], resampling._replicated
-    monkeypatch.setattr(resampling, "_replicated", lambda df, key, n, *a: drawn.append(n) or whole(df, key, n, *a))
+    drawn, whole = [], resampling._resampled
+    monkeypatch.setattr(resampling, "_resampled", lambda df, key, draws, n, *a: drawn.append(n) or whole(df, key, draws, n, *a))
     for name in ("bootstrap_ci", "permutation_test"):
         plans.QUERIES[name](spark, sf)
     assert set(drawn) == {1000, 2000}
