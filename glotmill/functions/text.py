@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glotmill.functions import rewriting
 from glotmill.lexicon import EMOJI_WORDS, TEEN_WORDS, fold_pairs
 
 # Ordered rewrites for repeated marks and HTML entities (entities come after the collapse of marks).
@@ -38,18 +39,19 @@ def replace_words(text: Column, words: dict[str, str] = TEEN_WORDS) -> Column:
     """Each word once, by its lower-case form; other text stays. Keys that are not single words never match."""
     parts = F.regexp_extract_all(text, F.lit(rf"{WORD}|[^\p{{L}}\p{{N}}_À-ỹ]+"), F.lit(0))
     table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, F.lower(p)), p)), "")
+    # a set tells by a hash whether a word is a key; only then is the map gone through
+    return F.array_join(F.transform(parts, lambda p: F.when(F.lower(p).isin(list(words)), F.try_element_at(table, F.lower(p))).otherwise(p)), "")
 
 
 def replace_words_cascading(text: Column, words: dict[str, str]) -> Column:
-    """T8's dictionary: one whole-word replacement after another, in the order given, so results can be replaced again."""
-    return reduce(lambda c, kv: F.regexp_replace(c, rf"(?U)\b\Q{kv[0]}\E\b", kv[1]), words.items(), text)
+    """T8's dictionary: whole words, as if replaced one after another in the order given, so results can be replaced again."""
+    return rewriting.replace_words(text, list(words.items()))
 
 
 def replace_literals(text: Column, table: dict[str, str] = EMOJI_WORDS, longest_first: bool = True) -> Column:
     """Literal replacements by a description between spaces; T2 takes longer keys first."""
     keys = sorted(table, key=len, reverse=True) if longest_first else list(table)
-    return reduce(lambda c, k: F.replace(c, F.lit(k), F.lit(f" {table[k]} ")), keys, text)
+    return rewriting.replace_literals(text, [(k, f" {table[k]} ") for k in keys])
 
 
 def preprocess(text: Column, scenario: str) -> Column:

@@ -172,12 +172,12 @@ def aligned(ids: list[str], answers: list[dict]) -> list[dict]:
     return [by_id.get(k, answers[i]) for i, k in enumerate(ids)]
 
 
-def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag: str, id_col: str = "id", batch: int = 15) -> DataFrame:
+def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag: str, id_col: str = "id", batch: int = 15, attempts: int = 3) -> DataFrame:
     """Annotations from any backend (texts in, one dict a text out), in batches.
 
     Answers go to their rows by id, else by place. An answer of another length, or one that fails, is asked for again
-    after 1 and 2 seconds; a batch without answer after three times gives no rows, so that ``to_do`` finds them again,
-    and a warning in the task's log.
+    after 1, 2, 4 and so on seconds; a batch without answer after ``attempts`` times gives no rows, so that ``to_do``
+    finds them again, and a warning in the task's log.
     """
 
     def run(frames: Iterator) -> Iterator:
@@ -190,7 +190,7 @@ def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag
             out = []
             for i in range(0, len(f), batch):
                 part = f.iloc[i : i + batch]
-                for attempt in range(3):
+                for attempt in range(attempts):
                     try:
                         answers = backend(part["text"].tolist())
                     except Exception as e:  # whatever a remote backend raises
@@ -201,7 +201,7 @@ def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag
                         answers = aligned(part["id"].tolist(), answers)
                         out += [{"id": k, "text": t, "_tag": tag, "has_cs": bool(a.get("has_cs")), "langs": a.get("langs") or [], "tokens": a.get("tokens") or [], "confidence": float(a.get("confidence") or 0)} for k, t, a in zip(part["id"], part["text"], answers)]
                         break
-                    if attempt == 2:
+                    if attempt == attempts - 1:
                         logging.getLogger(__name__).warning("no annotations for %d rows from %s on: %s", len(part), part["id"].iloc[0], why)
                     else:
                         time.sleep(2**attempt)

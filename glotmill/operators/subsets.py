@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glotmill.operators.lineage import kept
+
 GROUPS = ("pure_vi", "english_mixed", "teencode_slang", "emoji_only", "other_noise")
 PREFERRED = ("all", "cs_strict", "cs_broad", "cs_heavy", "cs_light", "english_mixed", "chinese_mixed", "translit_only", "teencode_slang", "emoji_only", "other_noise", "pure_vi", "control_pure_vi", "cs_rule")
 
@@ -60,23 +62,51 @@ def shuffled(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+BINS = 4096
+
+
+def first_in_order(rows: DataFrame, keys: list[str], wanted: DataFrame, n: str, hash_col: str = "h", id_col: str = "__id") -> DataFrame:
+    """``rows`` of the keys in ``wanted`` with ``taken``: whether they are among the first ``n`` of their key by hash, then id.
+
+    A distributed selection: rows are counted by key and hash prefix (``BINS`` of them), which tells in which prefix a
+    key's number is reached, and only that prefix's rows are sorted. No task sorts a whole key. ``hash_col`` is a
+    hexadecimal digest; keys of ``wanted`` are unique and none is null.
+    """
+    binned = rows.withColumn("__bin", F.conv(F.substring(hash_col, 1, 3), 16, 10).cast("int"))
+    wanted = wanted.select(*keys, F.col(n).alias("__wanted"))
+    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    upto = counts.withColumn("__upto", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bin")))
+    last = upto.join(wanted, keys).groupBy(*keys, "__wanted").agg(
+        F.coalesce(F.min(F.when(F.col("__upto") > F.col("__wanted"), F.col("__bin"))), F.lit(BINS)).alias("__last"),
+        F.coalesce(F.max(F.when(F.col("__upto") <= F.col("__wanted"), F.col("__upto"))), F.lit(0)).alias("__before"),
+    )
+    placed = binned.join(F.broadcast(last), keys)
+    sure = placed.where(F.col("__bin") != F.col("__last")).withColumn("taken", F.col("__bin") < F.col("__last"))
+    edge = placed.where(F.col("__bin") == F.col("__last")).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__last").orderBy(hash_col, id_col)))
+    edge = edge.withColumn("taken", F.col("__before") + F.col("__r") <= F.col("__wanted")).drop("__r")
+    return sure.unionByName(edge).select(*rows.columns, "taken")
+
+
 def matched_control(df: DataFrame, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Adds ``control_pure_vi``, pure rows that match the code-switched ones in number and label, by split.
 
     Per split the target is min(code-switched, pure). Each primary label gives round-half-even(share x target) rows of
     its pure rows, as far as they go; a deficit is made up from the remaining pure rows. Rounding can give more than the
-    target. Only ids, splits and labels of pure rows are sorted.
+    target. Rows are chosen by a hash of the id, by distributed selection (``first_in_order``); only ids, splits and
+    labels of pure rows move. Splits and labels are few, so their tables are broadcast.
     """
     counts = df.groupBy("split").agg(F.count_if("is_cs_strict").alias("cs"), F.count_if(F.col("cs_group") == "pure_vi").alias("pure")).withColumn("target", F.least("cs", "pure")).where("target > 0")
     labels = df.where("is_cs_strict").groupBy("split", "primary_label").agg(F.count(F.lit(1)).alias("n_label"))
     quota = labels.join(counts, "split").select("split", "primary_label", F.bround(F.col("n_label") / F.col("cs") * F.col("target")).cast("int").alias("quota"))
     pure = df.where(F.col("cs_group") == "pure_vi").select(F.col(id_col).alias("__id"), "split", "primary_label", shuffled(id_col, seed).alias("h"))
-    ranked = pure.withColumn("r", F.row_number().over(Window.partitionBy("split", "primary_label").orderBy("h", "__id"))).join(quota, ["split", "primary_label"], "left")
-    ranked = ranked.withColumn("taken", F.coalesce(F.col("r") <= F.col("quota"), F.lit(False)))
-    need = ranked.groupBy("split").agg(F.count_if("taken").alias("n_taken")).join(counts, "split").select("split", (F.col("target") - F.col("n_taken")).alias("deficit")).where("deficit > 0")
-    rest = ranked.where("not taken").join(F.broadcast(need), "split").withColumn("k", F.row_number().over(Window.partitionBy("split").orderBy("h", "__id"))).where("k <= deficit")
-    chosen = ranked.where("taken").join(F.broadcast(counts.select("split")), "split", "left_semi").select("__id").unionByName(rest.select("__id")).withColumn("control_pure_vi", F.lit(True))
-    return df.join(chosen, df[id_col] == chosen["__id"], "left").drop("__id").withColumn("control_pure_vi", F.coalesce("control_pure_vi", F.lit(False)))
+    pure, counts = kept(pure), kept(counts)
+    # labels that no code-switched row has give none, but may fill the deficit
+    every = pure.select("split", "primary_label").distinct().join(quota, ["split", "primary_label"], "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    chosen = kept(first_in_order(pure, ["split", "primary_label"], every, "quota"))
+    need = chosen.groupBy("split").agg(F.count_if("taken").alias("n_taken")).join(counts, "split").select("split", (F.col("target") - F.col("n_taken")).alias("deficit")).where("deficit > 0")
+    rest = first_in_order(chosen.where("not taken").drop("taken"), ["split"], need, "deficit").where("taken")
+    both = chosen.where("taken").join(F.broadcast(counts.select("split")), "split", "left_semi").select("__id").unionByName(rest.select("__id")).withColumn("control_pure_vi", F.lit(True))
+    return df.join(both, df[id_col] == both["__id"], "left").drop("__id").withColumn("control_pure_vi", F.coalesce("control_pure_vi", F.lit(False)))
 
 
 def stratified_sample(df: DataFrame, per_group: int = 40, group: str = "cs_group", id_col: str = "id", seed: int = 42) -> DataFrame:

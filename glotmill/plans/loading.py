@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glotmill.functions.labels import strict_label_vector
 from glotmill.operators import metrics
+from glotmill.operators.lineage import shared_folder
 from glotmill.plans import sql as S
 from glotmill.plans.reference import docs, evaluated, pseudo, query, read, rounded
 from glotmill.sources.readers import read_cache, read_table
@@ -17,13 +17,8 @@ from glotmill.sources.writers import append_cache, write_csv, write_jsonl
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the session's shared one (``spark.checkpoint.dir``); a temporary one only on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        base = tempfile.mkdtemp(prefix="glotmill-")
-    return f"{base}/files-{uuid.uuid4().hex}"
+    """A new folder in the session's shared one."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def told(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from glotmill.functions import tokens as T
 from glotmill.functions.labels import multi_hot, parse_label_list, primary_label
 from glotmill.lexicon import TEEN_WORDS
 from glotmill.operators import detect_v1, detect_v2, detect_v3, metrics, stats, subsets
+from glotmill.operators.lineage import kept
 from glotmill.plans import sql as S
 
 QUERIES: dict = {}
@@ -33,9 +34,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores is dealt over the cores before work per row; larger ones are not shuffled."""
+    """A table of fewer partitions than cores is dealt over the cores before work per row; larger ones are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,8 +156,8 @@ def labelled(spark, sf) -> DataFrame:
     """Annotations with a two-label vocabulary (quality, toxic) from ``labels``; documents without labels have none."""
     lab = read(spark, sf, "labels").select(F.col("doc_id").alias("lid"), F.array_compact(F.array(F.when(F.col("quality") == 1, F.lit(0)), F.when(F.col("toxic") == 1, F.lit(1)))).alias("label_ids"))
     d = v2(spark, sf)
-    # queries over this use it several times; what is kept is narrow, and lost parts are made again
-    d = d.select("id", "split", "n_word_tokens", "english_ratio", "is_cs_strict", "is_cs_broad", "cs_group", "cs_level").persist()
+    # queries over this use it several times; what is kept is narrow
+    d = kept(d.select("id", "split", "n_word_tokens", "english_ratio", "is_cs_strict", "is_cs_broad", "cs_group", "cs_level"))
     joined = d.join(lab, d["id"] == lab["lid"], "left").drop("lid").withColumn("label_ids", F.coalesce("label_ids", F.expr("cast(array() as array<int>)")))
     return joined.withColumns({"n_labels": F.size("label_ids"), "primary_label": primary_label(F.col("label_ids"))})
 

@@ -110,3 +110,48 @@ def test_stream(spark, tmp_path):
     q = annotate.append_stream(annotate.annotated_stream(stream), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert {r.id: r.cs_group for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"1": "english_mixed", "2": "pure_vi"}
+
+
+def control_by_hand(rows, seed=42):
+    """The matched control of (id, split, label, strict, pure) rows, sorted whole."""
+    import hashlib
+    from collections import Counter
+
+    place = lambda r: (hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest(), r[0])
+    out = set()
+    for split in {r[1] for r in rows}:
+        cs, pure = [r for r in rows if r[1] == split and r[3]], sorted((r for r in rows if r[1] == split and r[4]), key=place)
+        target = min(len(cs), len(pure))
+        if not target:
+            continue
+        taken = set()
+        for label, n in Counter(r[2] for r in cs).items():
+            taken |= {r[0] for r in [r for r in pure if r[2] == label][: round(n / len(cs) * target)]}
+        taken |= {r[0] for r in [r for r in pure if r[0] not in taken][: max(0, target - len(taken))]}
+        out |= taken
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_matched_control(spark, parts):
+    """Selection by counts of hash prefixes gives the rows that sorting gives, for any number of partitions."""
+    import random
+
+    rng = random.Random(parts)
+    rows = []
+    for i in range(1500):
+        strict = rng.random() < 0.3
+        rows.append((i, rng.choice(["train"] * 6 + ["val", "test"]), rng.choice([-1, 0, 0, 1, 2 if strict else 0]), strict, not strict and rng.random() < 0.7))
+    rows += [(9000, "only_pure", 0, False, True), (9001, "only_cs", 0, True, False)]
+    df = spark.createDataFrame(rows, "id long, split string, primary_label int, is_cs_strict boolean, pure boolean").withColumn("cs_group", F.when(F.col("pure"), "pure_vi").otherwise("x"))
+    got = {r.id for r in subsets.matched_control(df.repartition(parts)).where("control_pure_vi").collect()}
+    assert got == control_by_hand(rows) and len(got) > 300
+    assert subsets.matched_control(df.where("false")).count() == 0
+
+
+def test_first_in_order_repeats(spark):
+    """Rows with one hash are ordered by id; numbers beyond the rows take all, zero takes none."""
+    rows = spark.createDataFrame([("a", i, "00ff") for i in range(20)] + [("b", 1, "abcd"), ("c", 2, "abcd")], "k string, __id int, h string")
+    wanted = spark.createDataFrame([("a", 7), ("b", 5), ("c", 0)], "k string, n int")
+    got = {(r.k, r["__id"]) for r in subsets.first_in_order(rows, ["k"], wanted, "n").where("taken").collect()}
+    assert got == {("a", i) for i in range(7)} | {("b", 1)}
