@@ -13,7 +13,6 @@ from glotmill.lexicon import V3_COMMON, V3_KEEP, strip_marks, unique
 
 CACHE_SCHEMA = "id string, text string, _tag string, has_cs boolean, langs array<string>, tokens array<struct<text:string,type:string,gloss:string>>, confidence double, _seq bigint"
 STRICT_TYPES = ["english", "chinese_script", "chinese_translit", "other_foreign"]
-COMMON = unique([*V3_COMMON, *map(strip_marks, V3_COMMON)])
 COUNTS = ["n_english", "n_chinese", "n_translit", "n_loanword", "n_proper_noun", "n_cs_tokens"]
 
 
@@ -40,15 +39,20 @@ def cache_status(df: DataFrame, cache: DataFrame, tag: str, id_col: str = "id")
     return marked.agg(F.count("__done").alias("done"), F.count(F.lit(1)).alias("needed"), F.count_if(F.col("__done").isNull()).alias("missing"))
 
 
-def is_vietnamese_word(word: Column, more_english: Column | None = None) -> Column:
+def _bare_too(words) -> list[str]:
+    """Words with and without their diacritics."""
+    return unique([*words, *map(strip_marks, words)])
+
+
+def is_vietnamese_word(word: Column, more_english: Column | None = None, common=tuple(V3_COMMON), keep=tuple(V3_KEEP)) -> Column:
     """D29; ``more_english`` says where a frequency list finds the word far commoner in English."""
     low = F.lower(F.trim(word))
     syllable = T.is_syllable(low) if more_english is None else T.is_syllable(low) & ~more_english
-    return F.when(low == "", False).when(low.isin(V3_KEEP), False).otherwise(low.rlike(T.VIET) | low.isin(COMMON) | syllable)
+    return F.when(low == "", False).when(low.isin(list(keep)), False).otherwise(low.rlike(T.VIET) | low.isin(_bare_too(common)) | syllable)
 
 
-def checked_type(token: Column) -> Column:
-    """The type after the rules, null where the token is dropped."""
+def checked_type(token: Column, common=tuple(V3_COMMON), keep=tuple(V3_KEEP)) -> Column:
+    """The type after the rules, null where the token is dropped; ``common`` and ``keep`` are word lists of D29."""
     text, gloss, kind = F.trim(F.coalesce(token["text"], F.lit(""))), F.coalesce(token["gloss"], F.lit("")), F.coalesce(token["type"], F.lit(""))
     parts = F.filter(F.split(text, r"[\s\-_/]+"), lambda p: p != "")
     upper = F.substring(text, 1, 1) != F.lower(F.substring(text, 1, 1))
@@ -56,13 +60,14 @@ def checked_type(token: Column) -> Column:
     english = (
         F.when(text.rlike(T.VIET), F.when(upper, "proper_noun"))
         .when(~F.forall(parts, lambda p: p.rlike("^[A-Za-z]+$")), None)
-        .when(F.forall(parts, lambda p: is_vietnamese_word(p)), F.when(upper & (F.size(parts) >= 2), "proper_noun"))
+        .when(F.forall(parts, lambda p: is_vietnamese_word(p, None, common, keep)), F.when(upper & (F.size(parts) >= 2), "proper_noun"))
         .when(F.length(text) > 2, "english")
     )
-    common = lambda w: w.isin(COMMON) | fold_accents(w).isin(COMMON)
+    listed = _bare_too(common)
+    is_common = lambda w: w.isin(listed) | fold_accents(w).isin(listed)
     foreign = (
         F.when(text.rlike(han), "chinese_script")
-        .when(F.forall(parts, lambda p: common(F.lower(p))) | common(F.lower(text)), None)
+        .when(F.forall(parts, lambda p: is_common(F.lower(p))) | is_common(F.lower(text)), None)
         .when((kind == "chinese_translit") & ~gloss.rlike(han), None)
         .otherwise(kind)
     )
@@ -72,10 +77,10 @@ def checked_type(token: Column) -> Column:
     )
 
 
-def clean_cache(cache: DataFrame) -> DataFrame:
-    """Rules on every token, then has_cs and the sorted languages anew."""
+def clean_cache(cache: DataFrame, common=tuple(V3_COMMON), keep=tuple(V3_KEEP)) -> DataFrame:
+    """Rules on every token, then has_cs and the sorted languages anew; word lists as in ``checked_type``."""
     empty = F.expr("cast(array() as array<struct<text:string,type:string,gloss:string>>)")
-    typed = F.transform(F.coalesce("tokens", empty), lambda t: F.struct(t["text"].alias("text"), checked_type(t).alias("type"), t["gloss"].alias("gloss")))
+    typed = F.transform(F.coalesce("tokens", empty), lambda t: F.struct(t["text"].alias("text"), checked_type(t, common, keep).alias("type"), t["gloss"].alias("gloss")))
     strict = F.filter("tokens", lambda t: t["type"].isin(STRICT_TYPES))
     lang = lambda t: F.when(t["type"].contains("chinese"), "zh").when(t["type"] == "english", "en").otherwise("other")
     return cache.withColumn("tokens", F.filter(typed, lambda t: t["type"].isNotNull())).withColumns({"has_cs": F.size(strict) > 0, "langs": F.array_sort(F.array_distinct(F.transform(strict, lang)))})
@@ -187,24 +192,26 @@ def annotate_with(df: DataFrame, backend: Callable[[list[str]], list[dict]], tag
         import pandas as pd
 
         for f in frames:
-            out = []
+            out, failed, why = [], 0, ""
             for i in range(0, len(f), batch):
                 part = f.iloc[i : i + batch]
                 for attempt in range(attempts):
                     try:
                         answers = backend(part["text"].tolist())
                     except Exception as e:  # whatever a remote backend raises
-                        answers, why = [], repr(e)
+                        answers, said = [], repr(e)
                     else:
-                        why = f"{len(answers)} answers"
+                        said = f"{len(answers)} answers for {len(part)} rows"
                     if len(answers) == len(part):
                         answers = aligned(part["id"].tolist(), answers)
                         out += [{"id": k, "text": t, "_tag": tag, "has_cs": bool(a.get("has_cs")), "langs": a.get("langs") or [], "tokens": a.get("tokens") or [], "confidence": float(a.get("confidence") or 0)} for k, t, a in zip(part["id"], part["text"], answers)]
                         break
                     if attempt == attempts - 1:
-                        logging.getLogger(__name__).warning("no annotations for %d rows from %s on: %s", len(part), part["id"].iloc[0], why)
+                        failed, why = failed + len(part), said
                     else:
                         time.sleep(2**attempt)
+            if failed:
+                logging.getLogger(__name__).warning("no annotations for %d of %d rows: %s", failed, len(f), why)
             yield pd.DataFrame(out, columns=["id", "text", "_tag", "has_cs", "langs", "tokens", "confidence"])
 
     return df.select(F.col(id_col).cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, CACHE_SCHEMA.removesuffix(", _seq bigint"))

@@ -13,7 +13,6 @@ from glotmill.lexicon import EMOJI_WORDS
 from glotmill.operators import detect_v3, metrics, resampling, stats, subsets
 from glotmill.plans import sql as S
 from glotmill.plans.reference import _COMMON, _TEEN, _scores_sql, docs, evaluated, pseudo, query, read, rounded, scores
-from glotmill.sources.readers import discover_models
 from glotmill.sources.writers import prediction_columns
 
 # Two annotators of documents
@@ -45,9 +44,9 @@ def rule_against_llm(spark, sf):
 _KINDS = {"llm_only": "is_cs_strict AND NOT is_cs_rule", "rule_only": "is_cs_rule AND NOT is_cs_strict", "chinese": "n_chinese > 0", "translit": "n_translit > 0"}
 
 
-@query(f"WITH {_TWO} " + " UNION ALL ".join(f"(SELECT '{k}' AS kind, id FROM two WHERE {c} ORDER BY id LIMIT 20)" for k, c in _KINDS.items()))
+@query(f"WITH {_TWO} " + " UNION ALL ".join(f"(SELECT '{k}' AS kind, id FROM two WHERE {c} ORDER BY id LIMIT 200)" for k, c in _KINDS.items()))
 def disagreement_samples(spark, sf):
-    found = subsets.disagreements(annotators(spark, sf), n=20)
+    found = subsets.disagreements(annotators(spark, sf))
     return reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("kind"), "id") for k, d in found.items()])
 
 
@@ -73,19 +72,6 @@ def cache_status(spark, sf):
     return detect_v3.cache_status(docs(spark, sf), cache, "system", "doc_id")
 
 
-_ANSWERS = [
-    ("list", '```json\n[{"id": "1", "has_cs": true, "langs": ["en"], "tokens": [{"text": "ok", "type": "english", "gloss": ""}], "confidence": 0.9}]\n```'),
-    ("wrapped", '<think>perhaps [1]</think>{"results": [{"id": "2", "has_cs": false, "langs": [], "tokens": [], "confidence": 0.4}]}'),
-    ("none", "no answer"),
-]
-
-
-@query("SELECT * FROM (VALUES ('list', '1', true, 1, 0.9::DOUBLE), ('wrapped', '2', false, 0, 0.4::DOUBLE)) t(kind, id, has_cs, n_tokens, confidence)")
-def llm_answers(spark, sf):
-    rows = spark.createDataFrame(_ANSWERS, "kind string, raw string").select("kind", F.explode(detect_v3.parse_response(F.col("raw"))).alias("r"))
-    return rows.select("kind", "r.id", "r.has_cs", F.size("r.tokens").alias("n_tokens"), "r.confidence")
-
-
 # Predictions
 
 
@@ -163,7 +149,7 @@ def signed_rank(spark, sf):
     return rounded(resampling.signed_rank_table(metrics.gaps(reduce(DataFrame.unionByName, parts), [("r0", "r1"), ("r0", "all")])), "mean", "sd", "p_value")
 
 
-# Training histories and model names
+# Training histories
 
 
 def history(spark, sf) -> DataFrame:
@@ -180,15 +166,6 @@ def best_epoch(spark, sf):
     return metrics.best_epoch(history(spark, sf))
 
 
-_RUNS = [("out/a/s1-XLM-R", "xlmr", "s1", "xlmr-s1"), ("out/b/s1-XLM-R", "xlmr", "s1", "xlmr-s1-2"), ("out/ViSoBERT_s2", "visobert", "s2", "visobert-s2"), ("out/PhoBERT-S3", "phobert", "s3", "phobert-s3"), ("out/vit5", "vit5", None, "vit5-s0")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{a}', {repr(s) if s else 'NULL'}, '{t}')" for p, a, s, t in _RUNS) + ") t(path, arch, scenario, tag)")
-def model_folders(spark, sf):
-    """Architecture, scenario and tag of result folders by their names; a repeated tag gets a number."""
-    return discover_models(spark.createDataFrame([(r[0],) for r in _RUNS], "path string")).select("path", "arch", "scenario", "tag")
-
-
 # Labels and text
 
 
@@ -205,13 +182,16 @@ def label_names(spark, sf):
     return rows.select("doc_id", "written", F.array_join(L.split_labels(F.col("written")), ", ").alias("names"), F.array_join(ids.cast("array<string>"), ",").alias("ids"), *wide)
 
 
-_EMOJI_TEXTS = [(i, f"a{k}b {k}{k}") for i, k in enumerate(EMOJI_WORDS)]
 _EMOJI_SQL = reduce(lambda x, k: "replace({}, '{}', ' {} ')".format(x, k.replace("'", "''"), EMOJI_WORDS[k].replace("'", "''")), sorted(EMOJI_WORDS, key=len, reverse=True), "text")
 
 
-@query("WITH t(id, text) AS (VALUES {}) SELECT id, {} AS named FROM t".format(", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in _EMOJI_TEXTS), _EMOJI_SQL))
+_FACES = "translate(text, 'ehaoiunm', '😂😍😢😡❤:)(')"
+
+
+@query(f"WITH {S.DOCS}, t AS (SELECT doc_id, {_FACES} AS text FROM docs) SELECT doc_id, md5({_EMOJI_SQL}) AS named FROM t")
 def emoji_names(spark, sf):
-    return spark.createDataFrame(_EMOJI_TEXTS, "id int, text string").select("id", X.replace_literals(F.col("text")).alias("named"))
+    """Documents whose commonest letters stand for faces and emoticons, with these named."""
+    return docs(spark, sf).select("doc_id", F.md5(X.replace_literals(F.translate(F.coalesce("text", F.lit("")), "ehaoiunm", "😂😍😢😡❤:)("))).alias("named"))
 
 
 def _words_sql(text: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,7 +54,8 @@ def read_excel(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """S1 to S6, by suffix. Comments hold line feeds and quotes."""
+    """S1 to S6, by suffix. Comments hold line feeds and quotes, so a CSV file is one task, however large: a table of that
+    size should come in many files, or as Parquet."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     text = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
     if suffix in ("csv", "tsv"):
@@ -162,12 +164,17 @@ def read_cache(spark: SparkSession, path: str, tag: str | None = None) -> DataFr
 
 
 def read_lexicon(spark: SparkSession, path: str) -> dict[str, str]:
-    """A dictionary file, tab-separated or JSON; of a word list's size, so it is read whole."""
+    """A dictionary file, tab-separated or JSON, in the file's order and with its keys' case.
+
+    It is of a word list's size, so it is read whole. Lines without a tab are left out, of a repeated key the last value
+    counts (at the key's first place), and values that are no strings are written as JSON.
+    """
+    rows = spark.read.text(path, wholetext=True).orderBy(F.input_file_name()).collect()
+    text = "\n".join(r[0] for r in rows)
     if path.endswith(".json"):
-        row = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path).first()
-        return row.asDict()
-    rows = spark.read.text(path).select(F.split(F.trim("value"), "\t", 2).alias("p")).where(F.size("p") == 2).collect()
-    return {r.p[0]: r.p[1] for r in rows}
+        return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in json.loads(text).items()}
+    pairs = (line.strip("\r").split("\t", 1) for line in text.split("\n"))
+    return {p[0].strip(): p[1].strip() for p in pairs if len(p) == 2}
 
 
 def read_metrics(spark: SparkSession, root: str, name: str = "metrics.csv") -> DataFrame:
