@@ -43,6 +43,7 @@ class Splitter:
         self.bits = len(sizes).bit_length() - 1
         self.before = np.concatenate([[0], np.cumsum(sizes)])
         self.draws = draws
+        self.path: dict[int, tuple[int, np.ndarray]] = {}  # the last node of each level, and what goes left there
         top = min(INVERTED, draws)
         self.logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(top, min(int(self.before[-1]), 4 * INVERTED)) + 2)))])
 
@@ -56,7 +57,9 @@ class Splitter:
         m = np.full(self.replicates, self.draws, dtype=np.int64)
         for level in range(self.bits):
             prefix = bucket >> (self.bits - level)
-            left = self._left(level, prefix, m)
+            if level not in self.path or self.path[level][0] != prefix:
+                self.path[level] = prefix, self._left(level, prefix, m)
+            left = self.path[level][1]
             m = m - left if (bucket >> (self.bits - level - 1)) & 1 else left
         return m
 
