@@ -7,7 +7,7 @@ import pytest
 
 from glotmill import plans
 
-TABLES = "documents embeddings pages labels conversations events".split()
+TABLES = "region nation customer documents embeddings pages labels conversations events".split()
 
 
 def rows(frame):
