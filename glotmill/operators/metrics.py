@@ -138,8 +138,9 @@ def gaps(scores: DataFrame, pairs: list[tuple[str, str]], metric: str = "macro_f
     return rows.unionByName(rows.groupBy("gap").agg(F.avg("value").alias("value")).withColumn(model, F.lit("mean")))
 
 
-def compare(scores: DataFrame, metric: str = "macro_f1", model: str = "model", order: list[str] | None = None) -> DataFrame:
-    """Subset x model, with the subset's size first and preferred subsets on top."""
+def compare(scores: DataFrame, metric: str = "macro_f1", model: str = "model", order: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """Subset x model, with the subset's size first and preferred subsets on top; U5: ``only`` these subsets."""
+    scores = scores if only is None else scores.where(F.col("subset").isin(only))
     wide = scores.groupBy("subset").pivot(model).agg(F.round(F.avg(metric), 4))
     sizes = scores.groupBy("subset").agg(F.min_by("n_samples", model).alias("n"))
     place = F.array_position(F.array(*map(F.lit, order or ["all"])), F.col("subset"))

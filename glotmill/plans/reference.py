@@ -392,6 +392,11 @@ def model_subset_pivot(spark, sf):
     return metrics.compare(scores(spark, sf))
 
 
+@query(f"""WITH {_scores_sql()} SELECT subset, min(n_samples) AS n, round(max(macro_f1) FILTER (WHERE model = 'm-s1'), 4) AS "m-s1", round(max(macro_f1) FILTER (WHERE model = 'k-s1'), 4) AS "k-s1", round(max(macro_f1) FILTER (WHERE model = 'q-s1'), 4) AS "q-s1" FROM mt WHERE n_samples >= 5 AND subset IN ('r2', 'r0') GROUP BY subset""")
+def named_subset_pivot(spark, sf):
+    return metrics.compare(scores(spark, sf), only=["r2", "r0", "no such subset"])
+
+
 @query(f"""WITH {_scores_sql()}, w AS (SELECT model, max(macro_f1) FILTER (WHERE subset = 'all') AS a, max(macro_f1) FILTER (WHERE subset = 'r0') AS r0, max(macro_f1) FILTER (WHERE subset = 'r1') AS r1 FROM mt GROUP BY model), g AS (SELECT model, 'r0-r1' AS gap, r0 - r1 AS value FROM w UNION ALL SELECT model, 'r0-all', r0 - a FROM w)
 SELECT model, gap, round(value, 6) AS value FROM (SELECT * FROM g UNION ALL SELECT 'mean', gap, avg(value) FROM g GROUP BY gap)""")
 def gaps(spark, sf):

@@ -41,16 +41,49 @@ def standardise(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataF
     return out.withColumn("split", normal_split(F.col("split"))) if "split" in out.columns else out
 
 
-def read_excel(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Sheets named after splits are one table with that split; otherwise the first sheet. Needs openpyxl."""
-    import pandas as pd
+def read_excel(spark: SparkSession, path: str, strict: bool = False, infer: bool = True) -> DataFrame:
+    """A workbook or a folder of them. Sheets named after splits are one table with that split; of a workbook
+    without such sheets the first counts. Columns are united by name.
 
-    book = pd.read_excel(path, sheet_name=None)
-    named = {s: f for s, f in book.items() if (s if strict else s.lower().strip()) in SHEETS}
-    if strict and not {"train", "val", "test"} <= set(named):
+    Headings are read by a job over the workbooks, rows with a sheet a partition. Types hold for all rows of a column:
+    whole numbers, numbers and booleans where every cell is one, text otherwise; finding them reads the sheets once
+    more (``infer=False``: all text).
+    """
+    from glotmill.sources.workbook import FORMAT, Sheet, WorkbookSource, find_sheets, find_workbooks
+
+    spark.dataSource.register(WorkbookSource)
+    paths = find_workbooks(path)
+    if not paths or not all(p.endswith(".xlsx") for p in paths):
+        raise ValueError(f"no .xlsx workbook: {path}")
+
+    def sheets_in(frames):
+        import pandas as pd
+
+        for frame in frames:
+            found = [[json.dumps(vars(s)) for s in find_sheets(p)] for p in frame["path"]]
+            yield pd.DataFrame({"place": frame["place"], "sheets": found})
+
+    books = spark.createDataFrame(list(enumerate(paths)), "place long, path string").repartition(min(len(paths), 1000))
+    listed = [[Sheet(**json.loads(s)) for s in r.sheets] for r in sorted(books.mapInPandas(sheets_in, "place long, sheets array<string>").collect())]
+    plain = (lambda name: name) if strict else (lambda name: name.lower().strip())
+    named = [[s for s in book if plain(s.name) in SHEETS] for book in listed]
+    if strict and not {"train", "val", "test"} <= {s.name for book in named for s in book}:
         raise ValueError("sheets train, val and test are needed")
-    frames = [spark.createDataFrame(f.astype(object).where(f.notna(), None)).withColumn("split", normal_split(F.lit(s))) for s, f in named.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else spark.createDataFrame(next(iter(book.values())))
+    chosen = [s for book, of_splits in zip(listed, named) for s in (of_splits or book[:1])]
+    columns = list(dict.fromkeys(c for s in chosen for c in s.columns))
+    quoted = {c: f"`{c.replace('`', '``')}`" for c in columns}
+    rows = spark.read.format(FORMAT).option("path", path).option("sheets", json.dumps([vars(s) for s in chosen]))
+    types = dict.fromkeys(columns, "string")
+    if infer and columns:
+        text = ", ".join(f"{q} string" for q in quoted.values())
+        kinds = rows.schema(text).option("kinds", "true").load().agg(*[F.collect_set(q).alias(f"k{i}") for i, q in enumerate(quoted.values())]).first()
+        of = {("i",): "bigint", ("n",): "double", ("i", "n"): "double", ("b",): "boolean"}
+        types = {c: of.get(tuple(sorted(k)), "string") for c, k in zip(columns, kinds)}
+    df = rows.schema(", ".join(["_sheet string", *[f"{quoted[c]} {t}" for c, t in types.items()]])).option("kinds", "false").load()
+    if any(named):
+        sheet = F.col("_sheet") if strict else F.lower(F.trim("_sheet"))
+        df = df.withColumn("split", F.when(sheet.isin(SHEETS), normal_split(sheet)))
+    return df.drop("_sheet")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
