@@ -13,6 +13,8 @@ from math import comb
 import numpy as np
 
 LENGTH, RADIUS = 23, 3
+#: The high bits of a code word, which tell it: what follows them is the rest of a division.
+TELLING = 12
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 MASK = (1 << LENGTH) - 1
@@ -74,7 +76,8 @@ def home(words: np.ndarray) -> np.ndarray:
 def anchors(blocks: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(row index, anchor) for words cut into blocks of 23 bits.
 
-    An anchor joins one code word per block. Two words that differ in at most ``reach`` bits differ in at most e_i bits
+    An anchor joins one code word per block, each by its twelve telling bits, so that five blocks fit a long. A shorter
+    last block is filled up with zeros, which changes no distance. Two words that differ in at most ``reach`` bits differ in at most e_i bits
     of block i, the e_i adding up to at most ``reach``; so the second lies within radius + e_i of the first's home in
     each block, and anchors whose excesses add up to at most ``reach`` are all that is needed.
     """
@@ -86,6 +89,6 @@ def anchors(blocks: list[np.ndarray], reach: int) -> tuple[np.ndarray, np.ndarra
         s = syndrome(words)
         total = spent[:, None] + excess[s]
         at, col = np.nonzero(total <= reach)
-        out = (out[at] << LENGTH) | (words[at] ^ patterns[s[at], col])
+        out = (out[at] << TELLING) | ((words[at] ^ patterns[s[at], col]) >> (LENGTH - TELLING))
         rows, spent = rows[at], total[at, col]
     return rows, out

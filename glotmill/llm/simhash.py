@@ -5,7 +5,9 @@ covering radius and is replicated to every anchor within radius plus threshold;
 then meet at the home of either one, so that comparing homes with replicas, anchor by anchor, misses nothing.
 
 The code is the perfect Golay code on each of two blocks of 23 bits: 2^24 anchors and about 68 replicas of a fingerprint
-at threshold 2. Work per anchor stays small as long as there are not many more distinct fingerprints than anchors.
+at threshold 2. Work per anchor stays small as long as there are not many more distinct fingerprints than anchors, so
+beyond 2^24 of them the other 18 bits are a third block. Its words come home to 3,328 anchors unevenly, so random
+fingerprints meet 476 times fewer others at an anchor, for about twice the replicas (119). The links are the same.
 Equal fingerprints are one node, whatever the number of their documents, and a node has at most
 C(64,1) + C(64,2) = 2,080 others within two bits, so links grow with the input, not with the square of a group.
 """
@@ -68,12 +70,17 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long")
 
 
-def _blocks(fps: np.ndarray) -> list[np.ndarray]:
-    return [fps & golay.MASK, fps >> golay.LENGTH & golay.MASK]
+def _blocks(fps: np.ndarray, n: int) -> list[np.ndarray]:
+    """The lowest n blocks of 23 bits; of the third there are 18, and zeros."""
+    bits = fps.view(np.uint64)
+    return [(bits >> np.uint64(i * golay.LENGTH) & np.uint64(golay.MASK)).astype(np.int64) for i in range(n)]
 
 
-def near_links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b): pairs of different fingerprints (column fp, no repeats) at ``threshold`` or fewer differing bits."""
+def near_links(nodes: DataFrame, threshold: int = 2, blocks: int = 2) -> DataFrame:
+    """(a, b): pairs of different fingerprints (column fp, no repeats) at ``threshold`` or fewer differing bits.
+
+    ``blocks`` (1 to 3) sets the number of anchors, 4,096 to that power at most; links do not depend on it.
+    """
 
     def replicate(reach: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +88,7 @@ def near_links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
                 every = b.column(0).to_numpy(zero_copy_only=False)
                 for i in range(0, len(every), 4096):
                     fps = every[i : i + 4096]
-                    rows, at = golay.anchors(_blocks(fps), reach)
+                    rows, at = golay.anchors(_blocks(fps, blocks), reach)
                     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(fps[rows])], names=["anchor", "fp"])
 
         return run
@@ -100,8 +107,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = 2, id_col:
     counts for no component's smallest id. An empty table gives an empty result; other columns are not read.
     """
     rows = cut_lineage(fingerprints(docs, size, id_col, text_col))
-    nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc").alias("first")))
-    roots = connected_components(near_links(nodes, threshold))
+    nodes, n = cut_lineage_counted(rows.groupBy("fp").agg(F.min("doc").alias("first")), PER_TASK)
+    roots = connected_components(near_links(nodes, threshold, blocks=2 if n <= 1 << 24 else 3))
     labelled = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(smallest, "root").select(F.col("fp").alias("c_fp"), "component_id")

@@ -218,14 +218,15 @@ def test_golay():
     assert (np.bitwise_count((golay.home(words) ^ words).astype(np.uint64)) <= 3).all() and (golay.syndrome(golay.home(words)) == 0).all()
 
 
-def test_near_links(spark):
-    """Every pair within two bits, and no other."""
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_near_links(spark, blocks):
+    """Every pair within two bits, and no other, whatever the number of anchors."""
     rng = np.random.default_rng(3)
     seeds = rng.integers(-(2**62), 2**62, 60)
     flips = [int(x) ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False)) for x in seeds for n in (1, 2, 3)]
     fps = sorted({*map(int, seeds), *flips})
     want = {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= 2}
-    got = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    got = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), blocks=blocks).collect()}
     assert got == want
 
 
