@@ -36,12 +36,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_lineage_counted(df: DataFrame, rows_per_task: int = 200_000) -> tuple[DataFrame, int]:
-    """``cut_lineage`` and the number of rows, counted by the same job; few rows come back in few partitions."""
+def cut_lineage_observed(df: DataFrame, *totals: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and totals over all rows, from the same job."""
     shared_folder(df.sparkSession)
     seen = Observation()
-    cut = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    n = seen.get["n"]
+    return df.observe(seen, *totals).checkpoint(eager=True), seen.get
+
+
+def cut_lineage_counted(df: DataFrame, rows_per_task: int = 200_000) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows, counted by the same job; few rows come back in few partitions."""
+    cut, seen = cut_lineage_observed(df, F.count(F.lit(1)).alias("n"))
+    n = seen["n"]
     return cut.coalesce(max(1, math.ceil(n / rows_per_task))), n
 
 

@@ -5,13 +5,15 @@ starts with the longest remainder left, and a subset sum over the multiset of th
 integer, bit s for a reachable sum s), finds the sum closest to the free space; backtracking gives how often each
 length is used. With many lengths nearly every window fills to the last token.
 
-Each task packs what it tokenises, in shards of at most ``SHARD`` remainders, so nothing is shuffled, memory is bounded
-and a lost executor's tasks give the same sequences again. Only the last window or two of a shard have padding.
+Each task packs what it tokenises, in shards of at most ``SHARD`` remainders, so no text is shuffled, memory is bounded
+and a lost executor's tasks give the same sequences again. Only the last window or two of a shard have padding; the
+pieces of those of all shards (a few for each task, as numbers) are dealt again and packed once more.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -26,9 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glotmill.llm.common import cut_lineage_observed
 from glotmill.llm.pretokens import Memo
 
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
+#: Windows with more padding than this share of the capacity are packed again; sequences of that second time have this bit.
+SLACK, SECOND = 1 / 64, 1 << 62
 MEMO, STEP = 1_200_000, 1000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
@@ -171,19 +176,30 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
     are one token. Null ids and repeated rows are packed like others; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(definition)
-    out = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    out = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loose")])
+    schema = ", ".join(f"{f.name} long" for f in out)
     full = capacity * 4
 
+    def table(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(out))], schema=out)
+
     def packed(rest: list[tuple], sequence: int) -> Iterator[list]:
+        """Pieces with their place, and 1 where the window has much padding."""
         by_length: dict[int, list[tuple]] = defaultdict(list)
         for piece in rest:
             by_length[piece[2]].append(piece)
         for k, lengths in enumerate(windows({n: len(p) for n, p in by_length.items()}, capacity)):
-            offset = 0
+            offset, loose = 0, int(sum(lengths) < capacity * (1 - SLACK))
             for n in lengths:
-                yield [*by_length[n].pop(), sequence + k, offset]
+                yield [*by_length[n].pop(), sequence + k, offset, loose]
                 offset += n
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, rest = SECOND | TaskContext.get().partitionId() << 32, []
+        for b in batches:
+            rest += zip(*[b.column(c).to_pylist() for c in out.names[:5]])
+        yield table(list(packed(sorted(rest, key=str), sequence)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.sha256(sent.value.encode()).hexdigest()
         if name not in _TOKENS:
@@ -191,9 +207,6 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
         tokens, end = _TOKENS[name], pack("<I", end_id)
         sequence, rest = TaskContext.get().partitionId() << 32, []
 
-        def table(rows: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=out)
-
         for b in batches:
             rows = []
             for doc, ids in zip(b.column(0).to_pylist(), tokens.encode_batch([t or "" for t in b.column(1).to_pylist()])):
@@ -203,7 +216,7 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
                     part = ids[at : at + full]
                     piece = (doc, at // 4, len(part) // 4, zlib.crc32(part), total)
                     if len(part) == full:
-                        rows.append([*piece, sequence, 0])
+                        rows.append([*piece, sequence, 0, 0])
                         sequence += 1
                     else:
                         rest.append(piece)
@@ -214,5 +227,8 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
             yield table(rows)
         yield table(list(packed(rest, sequence)))
 
-    schema = ", ".join(f"{f.name} long" for f in out)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    first, seen = cut_lineage_observed(texts.mapInArrow(run, schema), F.sum("loose").alias("loose"))
+    # the number of tasks follows the number of pieces, so that each has many lengths to choose from
+    loose = first.where("loose = 1").repartition(math.ceil((seen["loose"] or 1) / SHARD)).mapInArrow(again, schema)
+    return first.where("loose = 0").unionByName(loose).drop("loose")

@@ -329,6 +329,19 @@ def test_token_counts(odd):
                 assert (x.n_tokens, x.n_bytes) == (len(t.encode(text, add_special_tokens=False).ids), len(text.encode()))
 
 
+def test_packing_of_many_tasks(spark, sf):
+    """The short windows of all tasks are packed once more, so 24 tasks need no more than one window beyond the fewest; every piece stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(docs.repartition(24), queries.definition("word_bpe_49k.json")).toPandas()
+    used = rows.groupby("sequence_id").length.sum()
+    assert used.max() <= 2048 and used.size <= -(-rows.length.sum() // 2048) + 1
+    at = rows.sort_values(["sequence_id", "offset"])
+    assert (at.groupby("sequence_id").length.cumsum() - at.length == at.offset).all()
+    pieces = rows.sort_values(["doc_id", "start"])
+    assert (pieces.groupby("doc_id").length.cumsum() - pieces.length == pieces.start).all()
+    assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all() and rows.doc_id.nunique() == docs.count()
+
+
 def test_packing(odd):
     from tokenizers import Tokenizer
 
