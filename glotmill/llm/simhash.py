@@ -4,7 +4,7 @@ Fingerprints are compared at anchors, the code words of a covering code. Every f
 covering radius and is replicated to every anchor within radius plus threshold; two fingerprints within the threshold
 then meet at the home of either one, so that comparing homes with replicas, anchor by anchor, misses nothing.
 
-The code is the perfect Golay code on each of two blocks of 23 bits: 2^24 anchors and about 68 replicas of a fingerprint
+The code is the perfect Golay code on each of two blocks of 23 bits: 2^24 anchors and about 61 replicas of a fingerprint
 at threshold 2. Work per anchor stays small as long as there are not many more distinct fingerprints than anchors, so
 beyond 2^24 of them the other 18 bits are a third block. Its words come home to 3,328 anchors unevenly, so random
 fingerprints meet 476 times fewer others at an anchor, for about twice the replicas (119). The links are the same.
