@@ -101,14 +101,17 @@ def metric_folders(spark, sf):
     return rounded(read_metrics(spark, root), "macro_f1").select("arch", "scenario", "subset", "macro_f1")
 
 
-@query(f"WITH {S.DOCS}, l AS (SELECT doc_id, quality, toxic FROM labels) SELECT doc_id, md5(lower(text)) AS text_md5, quality || ',' || toxic AS y FROM docs JOIN l USING (doc_id) WHERE split = 'val'")
+@query(f"WITH {S.DOCS}, l AS (SELECT doc_id, quality, toxic FROM labels) SELECT doc_id, md5(lower(text)) AS text_md5, quality || ',' || toxic || ',0' AS y FROM docs JOIN l USING (doc_id) WHERE split = 'val'")
 def annotation_reload(spark, sf):
-    """Labelled documents stored by split; one split is read again, with another column as its text and written label lists."""
+    """Labelled documents stored by split; one split is read again, with another column as its text and written label lists.
+
+    Of three labels, so that no list of both others is as long as the vocabulary: that would be a one-hot list.
+    """
     labelled = docs(spark, sf).join(read(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id")
     ids = F.concat(F.lit("["), F.concat_ws(", ", F.when(F.col("quality") == 1, "0"), F.when(F.col("toxic") == 1, "1")), F.lit("]"))
     path = f"{scratch(spark)}/annotated.parquet"
     write_by_split(labelled.select("doc_id", "text", F.lower("text").alias("plain"), "split", ids.alias("label_ids")), path)
-    back = load_annotations(spark, path, "val", text_col="plain", labels=["quality", "toxic"])
+    back = load_annotations(spark, path, "val", text_col="plain", labels=["quality", "toxic", "other"])
     return back.select("doc_id", F.md5("text").alias("text_md5"), F.array_join(F.transform("y_true", lambda x: x.cast("string")), ",").alias("y"))
 
 
