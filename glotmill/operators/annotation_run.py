@@ -5,6 +5,9 @@ annotated one after the other, each by all executors, and each is committed to t
 tag and the wave's number and is replaced as a whole, so a wave that dies midway leaves nothing, and one that runs again
 leaves one copy. A later run reads the cache first and asks for what is missing only, whether a job died or a backend
 left rows without an answer. The driver holds the waves' numbers and no rows.
+
+A run has at most ``WAVES`` waves and ``FILES`` files of rows a wave; larger tables get larger waves. So neither jobs nor
+the files that the driver lists grow with the table.
 """
 
 from __future__ import annotations
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 
 from glotmill.operators.detect_v3 import CACHE_SCHEMA, annotate_with, keep_last, to_do
 
+#: Most waves of a run, and most files that a wave's rows are written to.
+WAVES, FILES = 32, 64
+
 
 def cached(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
     """Entries of all runs below ``path``; of an id and tag the one of the latest run stays. Empty if there is no run yet."""
@@ -34,7 +40,8 @@ def annotate_in_waves(df: DataFrame, backend: Callable[[list[str]], list[dict]],
 
     Every call is a run of its own, numbered after those whose entries the cache holds; call it again after a failure.
     ``df`` has text and ids that tell rows apart; null ids are left out, as no cache could find them again, and of a
-    repeated id one row is asked for. ``options`` go to ``annotate_with``.
+    repeated id one row is asked for. A wave has about ``wave_rows`` rows, more where that would take over ``WAVES``
+    waves. ``options`` go to ``annotate_with``.
     """
     spark = df.sparkSession
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), "text").dropDuplicates(["id"])
@@ -44,12 +51,16 @@ def annotate_in_waves(df: DataFrame, backend: Callable[[list[str]], list[dict]],
     asked = missing.count()
     if not asked:
         return 0
-    waves = math.ceil(asked / wave_rows)
-    # written once, so that a wave reads its own rows and not the whole table
-    wanted = f"{path}/asked/run={run}"
-    missing.withColumn("wave", F.pmod(F.xxhash64("id"), F.lit(waves)).cast("int")).write.mode("overwrite").partitionBy("wave").parquet(wanted)
+    waves = min(math.ceil(asked / wave_rows), WAVES)
+    # written once, so that a wave reads its own rows and not the whole table; rows are dealt by wave before, so that a
+    # task does not write a file for each wave
+    wanted, files = f"{path}/asked/run={run}", min(FILES, spark.sparkContext.defaultParallelism)
+    dealt = missing.withColumns({"wave": F.pmod(F.xxhash64("id"), F.lit(waves)).cast("int"), "__file": F.pmod(F.hash("id"), F.lit(files))})
+    dealt.repartition("wave", "__file").drop("__file").write.mode("overwrite").partitionBy("wave").parquet(wanted)
+    # files are listed once
+    written = spark.read.schema("id string, text string, wave int").parquet(wanted)
     for wave in range(waves):
-        part = spark.read.schema("id string, text string, wave int").parquet(wanted).where(F.col("wave") == wave).drop("wave")
+        part = written.where(F.col("wave") == wave).drop("wave")
         found = annotate_with(part, backend, tag, **options).withColumn("_seq", F.lit(run).cast("long"))
         found.write.mode("overwrite").parquet(f"{path}/entries/run={run}/wave={wave}")
     return asked

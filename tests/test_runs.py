@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glotmill.lexicon import DetectorConfig
 from glotmill.operators import detect_v2, inference, metrics
-from glotmill.operators.annotation_run import annotate_in_waves, cached
+from glotmill.operators.annotation_run import FILES, WAVES, annotate_in_waves, cached
 from glotmill.sources.readers import read_lexicon, read_metrics
 
 
@@ -55,6 +55,18 @@ def test_a_run_goes_on_where_it_died(spark, tmp_path):
     assert annotate_in_waves(df, backend(calls), "other", path) == 60 and cached(spark, path).count() == 120
 
 
+def test_waves_and_files_do_not_grow_with_the_table(spark, tmp_path):
+    df = spark.range(3000).select("id", F.concat(F.lit("t"), "id").alias("text")).repartition(40)
+    path = tmp_path / "cache"
+    assert annotate_in_waves(df, backend(tmp_path / "calls"), "m", str(path), wave_rows=20) == 3000
+    assert sorted(asked(tmp_path / "calls")) == sorted(f"t{i}" for i in range(3000))
+    assert cached(spark, str(path), "m").count() == 3000
+    for folder, most in (("asked", min(FILES, spark.sparkContext.defaultParallelism)), ("entries", None)):
+        waves = list((path / folder / "run=1").glob("wave=*"))
+        assert len(waves) == WAVES
+        assert most is None or all(len(list(w.glob("part-*"))) <= most for w in waves)
+
+
 def test_no_rows(spark, tmp_path):
     none = spark.createDataFrame([], "id long, text string")
     assert annotate_in_waves(none, backend(tmp_path / "c"), "m", str(tmp_path / "x")) == 0
