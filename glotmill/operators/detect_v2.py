@@ -23,9 +23,18 @@ COLUMNS = (
 
 def spelled(token: Column) -> Column:
     """A token with its lower-case form and, where a letter stands three times or more in a row, two shorter spellings."""
-    low = F.lower(token)
-    long = low.rlike(r"(.)\1\1")
-    return F.struct(token.alias("w"), low.alias("low"), F.when(long, shorten_runs(low)).alias("twice"), F.when(long, collapse_letters(low)).alias("once"))
+    return _with_runs(_lowered(token))
+
+
+def _lowered(token: Column) -> Column:
+    return F.struct(token.alias("w"), F.lower(token).alias("low"))
+
+
+def _with_runs(word: Column) -> Column:
+    """The spellings of a struct from ``_lowered``; apart, as values within a row's function are computed at each mention."""
+    low = word["low"]
+    long = (F.length(low) > 2) & low.rlike(r"(.)\1\1")
+    return F.struct(word["w"].alias("w"), low.alias("low"), F.when(long, F.struct(shorten_runs(low).alias("twice"), collapse_letters(low).alias("once"))).alias("runs"))
 
 
 def classify(word: Column, config: DetectorConfig = DetectorConfig(), known_by_table: Column | None = None) -> Column:
@@ -33,16 +42,18 @@ def classify(word: Column, config: DetectorConfig = DetectorConfig(), known_by_t
 
     ``known_by_table`` says whether a lexicon table has one of the word's spellings, beside the lists of ``config``.
     """
-    token, low, twice, once = word["w"], word["low"], word["twice"], word["once"]
+    token, low, runs = word["w"], word["low"], word["runs"]
     teen, lexicon = config.teencode_lexicon, config.english_lexicon
     # a run of three or more gives two more spellings to look up; other words only have their own
-    some = lambda test: test(low) | F.when(twice.isNotNull(), test(twice) | test(once)).otherwise(False)
+    some = lambda test: test(low) | F.when(runs.isNotNull(), test(runs["twice"]) | test(runs["once"])).otherwise(False)
     marked = low.isin(teen) if config.strict_teencode else low.isin(teen) | fold_accents(low).isin(teen)
-    shape, known = some(T.is_plain_syllable), some(lambda w: w.isin(lexicon))
+    # lengths and first letters are cheap and spare most words the patterns that no such word can match
+    shape, known = some(lambda w: (F.length(w) <= T.LONGEST_SYLLABLE) & T.is_plain_syllable(w)), some(lambda w: w.isin(lexicon))
+    laugh = F.substring(low, 1, 1).isin(list(T.LAUGH_STARTS)) & T.is_laugh(low)
     known = known if known_by_table is None else known | (F.coalesce(known_by_table, F.lit(False)) & ~low.isin(list(config.blacklist)))
     return (
-        F.when(~low.rlike("^[a-z]+$"), F.when(token.rlike(T.VIET), F.when(marked, "teencode").otherwise("vi")).otherwise("other"))
-        .when(T.is_laugh(low), "laugh")
+        F.when((F.octet_length(low) > F.length(low)) | ~low.rlike("^[a-z]+$"), F.when(token.rlike(T.VIET), F.when(marked, "teencode").otherwise("vi")).otherwise("other"))
+        .when(laugh, "laugh")
         .when(some(lambda w: w.isin(teen)), "teencode")
         .when(low.isin(list(config.blacklist)), "vi")
         .when(some(lambda w: w.isin(list(config.loans))), "en")
@@ -81,7 +92,7 @@ def classify_by_table(df: DataFrame, lexicon: DataFrame, text_col: str = "text",
     """
     words = df.select(F.explode(T.word_tokens(T.tokens(F.coalesce(F.col(text_col), F.lit(""))))).alias("token"))
     distinct = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("__w", spelled(F.col("token")))
-    spellings = F.array_distinct(F.array_compact(F.array("__w.low", "__w.twice", "__w.once")))
+    spellings = F.array_distinct(F.array_compact(F.array("__w.low", "__w.runs.twice", "__w.runs.once")))
     asked = distinct.select("token", "n", "__w", F.explode(spellings).alias("__spelling"))
     known = lexicon.select(F.col("w").alias("__spelling"), F.lit(True).alias("__known")).distinct()
     met = asked.join(known, "__spelling", "left").groupBy("token", "n", "__w").agg(F.max(F.coalesce("__known", F.lit(False))).alias("__known"))
@@ -117,7 +128,7 @@ def annotate(df: DataFrame, text_col: str = "text", config: DetectorConfig = Det
     """Adds the thirty v2 columns; a null text gives zeros, empty strings, ``pure_vi`` and ``none``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lists = df.withColumn("__tokens", T.tokens(text)).withColumn("__words", T.word_tokens(F.col("__tokens")))
-    lists = lists.withColumn("__kinds", F.transform(F.transform("__words", spelled), lambda x: F.struct(x["w"].alias("w"), classify(x, config).alias("k"))))
+    lists = lists.withColumn("__kinds", F.transform(F.transform(F.transform("__words", _lowered), _with_runs), lambda x: F.struct(x["w"].alias("w"), classify(x, config).alias("k"))))
     return _features(lists, df.columns, text_col, config)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from glotmill.operators import metrics, resampling, stats, subsets
+from glotmill.operators import detect_v2, metrics, resampling, stats, subsets
 from glotmill.sources import readers, writers
 from glotmill.streaming import annotate
 
@@ -155,3 +155,18 @@ def test_first_in_order_repeats(spark):
     wanted = spark.createDataFrame([("a", 7), ("b", 5), ("c", 0)], "k string, n int")
     got = {(r.k, r["__id"]) for r in subsets.first_in_order(rows, ["k"], wanted, "n").where("taken").collect()}
     assert got == {("a", i) for i in range(7)} | {("b", 1)}
+
+
+def test_v2_computes_spellings_once_and_skips_texts_without_marks(spark):
+    from functools import reduce
+
+    from glotmill.functions import tokens as T
+
+    texts = ["plain words", "a<b>c", "x http://y z", "WWW.q r", "ſww.a", "@me a@b", "#tag a#b", "<", "://", "a < b > c", "", "5٠ ٠ × a'b -"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id long, text string")
+    every = reduce(lambda c, p: F.regexp_replace(c, p, " "), (T.TAG, r"(?i)https?://\S+|www\.\S+", T.MENTION, T.HASHTAG), F.col("text"))
+    assert df.where(~T.cleaned(F.col("text")).eqNullSafe(every)).count() == 0
+    words = T.tokens(F.coalesce("text", F.lit("")))
+    assert df.where(T.word_tokens(words) != F.filter(words, lambda t: t.rlike(f"[{T.LETTERS}]"))).count() == 0
+    # the pattern of runs is tried once a word
+    assert detect_v2.annotate(df)._jdf.queryExecution().optimizedPlan().toString().count(r"(.)\1\1") == 1
