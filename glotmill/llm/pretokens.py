@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 
 #: Unicode white space as the tokeniser libraries have it (Python's own classes add U+001C to U+001F).
@@ -9,6 +11,24 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNSAFE = regex.compile(f"[{SPACE}] (?:[{SPACE}]|$)|\0")
 ODD = regex.compile(rf"[^\p{{L}}\p{{N}}][,.]|[{SPACE}]\n")
 
+#: The same white space a character each.
+SPACES = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: A comma or full stop at the start or after anything but a Latin-1 letter or digit.
+MARK = re.compile("[,.](?<![0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][,.])")
+
+
+def _after_space(text: str, mark: str) -> bool:
+    """Whether white space stands before ``mark`` somewhere; most texts hold few kinds of it, which is quick to see."""
+    return any(s in text and s + mark in text for s in SPACES)
+
+
+def _unsafe(text: str) -> bool:
+    return ("\0" in text or _after_space(text, " ")) and UNSAFE.search(text) is not None
+
+
+def _odd(text: str) -> bool:
+    return (MARK.search(text) is not None or _after_space(text, "\n")) and ODD.search(text) is not None
+
 
 def compiled(pattern: str) -> regex.Pattern:
     """The pre-token pattern with white space spelled out; \\s, \\S and [^\\s...] are all it uses."""
@@ -23,10 +43,10 @@ def chunks(text: str, pattern: regex.Pattern) -> list[str]:
     letter or digit, one before a line feed after anything but white space. Texts that break the first rule are cut at
     every pre-token, texts that break the second before spaces only. Either way the pre-tokens are the same.
     """
-    if UNSAFE.search(text):
+    if _unsafe(text):
         return pattern.findall(text)
     marked = text.replace(" ", "\0 ")
-    if not ODD.search(text):
+    if not _odd(text):
         marked = marked.replace(",", "\0,").replace(".", "\0.").replace("\n", "\0\n")
     return marked.removeprefix("\0").split("\0")
 

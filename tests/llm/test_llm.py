@@ -646,3 +646,16 @@ def test_pipeline_odd(spark, odd, tmp_path):
             table = stage(spark, table, str(tmp_path)).persist()
             assert table.count() <= most or i == 4
             assert i == 4 or table.columns == corpus_pipeline.COLUMNS
+
+
+def test_quick_looks_at_texts_agree_with_the_patterns():
+    import random
+
+    from glotmill.llm import pretokens as P
+
+    rng = random.Random(3)
+    signs = ["a", "é", "9", "²", ",", ".", "\n", " ", "\t", "\0", "\x85", "　", "×", "漢", "\x1c"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 8)))
+        assert P._unsafe(text) == bool(P.UNSAFE.search(text)) and P._odd(text) == bool(P.ODD.search(text))
+    assert all(P.regex.fullmatch(f"[{P.SPACE}]", c) for c in P.SPACES) and len(P.SPACES) == sum(P.regex.fullmatch(f"[{P.SPACE}]", chr(c)) is not None for c in range(0x3100))
