@@ -35,7 +35,7 @@ CAPACITY, END_ID, SHARD = 2048, 1, 50_000
 #: Windows with more padding than this share of the capacity are packed again; sequences of that second time have this bit.
 SLACK, SECOND = 1 / 64, 1 << 62
 MEMO, STEP = 1_200_000, 1000
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
 ODD = re.compile("[,.](?<![0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff][,.])")
 #: Pre-tokens of lower-case ASCII words, as in the tokeniser's file.
@@ -93,7 +93,7 @@ def piece_count(word: str) -> int:
     if word != word.lower() or SPECIAL in word:
         return 0
     if word.isascii():
-        return len(PIECES.findall(word))
+        return 1 if word.isalpha() else len(PIECES.findall(word))
     return int(max(word) <= "\xff" and word.isalpha())
 
 
@@ -144,7 +144,7 @@ class WordTokens:
         and full stops after a letter or digit become words of their own, with what follows them. Texts that may hold
         added tokens are only split: lower case would turn other spellings into them.
         """
-        if ODD_SPACE.search(text):
+        if any(c in text for c in ODD_SPACE):
             return None
         if SPECIAL in text:
             return text.split()
