@@ -13,13 +13,14 @@ pieces of those of all shards (a few for each task, as numbers) are dealt again
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from struct import pack
 
 import numpy as np
@@ -34,7 +35,8 @@ from glotmill.llm.pretokens import Memo
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
 #: Windows with more padding than this share of the capacity are packed again; sequences of that second time have this bit.
 SLACK, SECOND = 1 / 64, 1 << 62
-MEMO, STEP = 1_200_000, 1000
+#: Words kept with their ids; texts and characters that are split at once (one text at least).
+MEMO, STEP, LETTERS = 1_200_000, 8000, 16 << 20
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
 ODD = re.compile("[,.](?<![0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff][,.])")
@@ -43,6 +45,12 @@ PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Added tokens stand between these marks; the library looks for them before it lower-cases.
 SPECIAL = "<|"
 
+#: Latin-1 by its bytes: lower case, white space, comma and full stop, and what may stand before these.
+_LATIN = bytes(range(256)).decode("latin-1")
+_LOWER = _LATIN.lower().encode("latin-1")
+_SPACE, _MARK = np.array([c.isspace() for c in _LATIN]), np.array([c in ",." for c in _LATIN])
+_BEFORE = np.array([not ODD.search(f"{c},") for c in _LATIN])
+
 
 def fill(counts: dict[int, int], order: list[int], space: int) -> dict[int, int]:
     """How often to take each length so that the sum comes closest to ``space`` from below; ``order`` has the lengths, ascending."""
@@ -90,6 +98,8 @@ def piece_count(word: str) -> int:
     Certain are lower-case words of Latin-1 letters alone (normal form and lower case leave them as they are, and letters
     are one pre-token) and lower-case ASCII words.
     """
+    if word.isalpha() and word.isascii() and word.islower():
+        return 1
     if word != word.lower() or SPECIAL in word:
         return 0
     if word.isascii():
@@ -108,8 +118,13 @@ class WordTokens:
     def __init__(self, definition: str, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # lower-case Latin-1 letters are in normal form and one pre-token, so these steps are left out for them
+        bare = json.loads(definition) | {"normalizer": None, "post_processor": None}
+        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
@@ -119,13 +134,23 @@ class WordTokens:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}I", *ids)
 
-    def prepare(self, words: set[str]) -> None:
-        new = [(w, piece_count(w)) for w in words.difference(self.words) if len(w) <= self.words.longest]
-        if len(self.words) + len(new) > self.words.bound:
+    def prepare(self, words: Collection[str]) -> None:
+        fresh = [w for w in words if w not in self.words]
+        if len(self.words) + len(fresh) > self.words.bound:
             self.words.clear()
-        certain, others = [x for x in new if x[1]], [w for w, n in new if not n]
+            fresh = words
+        new = [(w, piece_count(w)) for w in fresh if len(w) <= self.words.longest]
+        others = [w for w, n in new if not n]
+        letters = [x for x in new if x[1] == 1 and x[0].isalpha()]
+        self.joined(letters, self.letters)
+        self.joined([x for x in new if x[1] > 1 or x[1] and not x[0].isalpha()], self.tokenizer)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.words[w] = pack(f"<{len(e.ids)}I", *e.ids)
+
+    def joined(self, certain: list[tuple[str, int]], tokenizer) -> None:
+        """Keeps the ids of words whose number of pre-tokens is certain, 500 of them a text."""
         parts = [certain[i : i + 500] for i in range(0, len(certain), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join([w for w, _ in p]) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, tokenizer.encode_batch_fast([" ".join([w for w, _ in p]) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             last = np.cumsum([n for _, n in part])
@@ -133,8 +158,6 @@ class WordTokens:
             for (w, _), stop in zip(part, stops[last - 1].tolist()):
                 self.words[w] = run[at:stop]
                 at = stop
-        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.words[w] = pack(f"<{len(e.ids)}I", *e.ids)
 
     @staticmethod
     def split(text: str) -> list[str] | None:
@@ -157,13 +180,57 @@ class WordTokens:
             return text.split()
         return text.replace(",", " ,").replace(".", " .").split()
 
+    @staticmethod
+    def latin(text: str) -> bytes | None:
+        """A text in Latin-1, a byte a character; None if it has others, separators of the odd kind or the marks of added tokens."""
+        if SPECIAL in text or any(c in text for c in ODD_SPACE):
+            return None
+        try:
+            return text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+
+    def encode_latin(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts in Latin-1, split as ``split`` does, but all at once; None where a mark stands after an odd character.
+
+        Each distinct word is looked up once, then Arrow puts the ids of all words in their order.
+        """
+        text = np.frombuffer(b"\n".join(texts).translate(_LOWER) + b"\n", np.uint8)
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        inside, mark = ~_SPACE[text], _MARK[text]
+        before = np.roll(text, 1)  # the last byte is a line feed, so the first has one before it
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(first, np.flatnonzero(mark & ~_BEFORE[before]), "right") - 1] = True
+        begins = inside & (_SPACE[before] | mark)
+        bounds = np.searchsorted(np.flatnonzero(begins), first)  # number of a text's first word
+        ends = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(text[inside])])
+        coded = words.dictionary_encode()
+        at = np.frombuffer(coded.dictionary.buffers()[1], np.int64)[: len(coded.dictionary) + 1].tolist()
+        data = coded.dictionary.buffers()[2]
+        spelled = str(data if data is not None else b"", "latin-1")
+        distinct = [spelled[i:j] for i, j in zip(at, at[1:])]
+        self.prepare(distinct)
+        ids = pa.array(map(self.words.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        data, at = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[bounds].tolist()
+        data = memoryview(data if data is not None else b"")
+        return [None if o else bytes(data[i:j]) for o, i, j in zip(odd.tolist(), at, at[1:])]
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(texts), STEP):
-            part = texts[i : i + STEP]
-            split = [self.split(t) for t in part]
+        filled, i = np.cumsum([len(t) for t in texts]), 0
+        while i < len(texts):
+            until = int(np.searchsorted(filled, (filled[i - 1] if i else 0) + LETTERS, "right"))
+            part = texts[i : min(max(i + 1, until), i + STEP)]
+            i += len(part)
+            latin = [self.latin(t) for t in part]
+            known = iter(self.encode_latin([t for t in latin if t is not None]))
+            ids = [None if t is None else next(known) for t in latin]
+            split = [self.split(t) if d is None else None for t, d in zip(part, ids)]
             self.prepare(set().union(*[w for w in split if w]))
-            for text, found in zip(part, split):
-                yield self.whole(text) if found is None else b"".join(map(self.words.__getitem__, found))
+            for text, done, found in zip(part, ids, split):
+                if done is None:
+                    done = self.whole(text) if found is None else b"".join(map(self.words.__getitem__, found))
+                yield done
 
 
 _TOKENS: dict[str, WordTokens] = {}

@@ -378,6 +378,27 @@ def test_word_tokens():
     same()
 
 
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    """Lookups follow the distinct words of a step, not all words; steps of one text, a full table and odd texts change no ids."""
+    from tokenizers import Tokenizer
+
+    definition = queries.definition("word_bpe_49k.json")
+    t, mine, looked = Tokenizer.from_str(definition), packing.WordTokens(definition), []
+
+    class Counted(packing.Memo):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    texts = ["Ab cd, Éa.b\xa0" * 5000, "", "x" * 100 + " ab", "cd ?. ab", "привет ab", "<|endoftext|> cd", "ÿ,\x85µ ª 1st\x1c", ", a"]
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    mine.words = Counted(mine.whole, packing.MEMO)
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_batch(texts)] == ids and len(looked) < 50
+    mine.words = Counted(mine.whole, 3)
+    monkeypatch.setattr(packing, "LETTERS", 1)
+    assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_batch(texts)] == ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), max_size=8), st.integers(0, 40))
 def test_fill(counts, space):
