@@ -4,10 +4,12 @@
    sends the cells it touched, cut into slices. A slice's counts are added up in one stream, and only one bit a cell
    goes on: whether ``least`` is reached. Counts of a sketch are never too low, so no frequent phrase is lost.
 2. A second pass counts the n-grams whose cells and parts all pass, exactly and by their text. What the sketch let
-   through in vain falls out there.
+   through in vain falls out there. Tasks take several partitions each and add up the counts of their chunks before
+   they send them, as most phrases that pass are rare and would leave once for nearly every occurrence.
 3. Scores and subsumption are joins of the frequent phrases.
 
-A chunk is ``CHUNK`` bytes of text (one text at least), so memory does not grow with the table. Words are told apart by
+A chunk is ``CHUNK`` bytes of text (one text at least) and a task holds at most ``HELD`` counts besides those of a
+chunk, so memory does not grow with the table. Words are told apart by
 Arrow's dictionary within a chunk and by their text between chunks; hashes only address cells. With far more distinct
 n-grams than cells the sketch prunes little: results stay the same, and the second pass counts more.
 """
@@ -27,6 +29,8 @@ from glotmill.llm.common import cut_lineage
 
 #: Cells of a sketch row (a power of two), rows, slices of a row, bytes of text in a chunk.
 CELLS, DEPTH, SLICES, CHUNK = 1 << 27, 2, 512, 12 << 20
+#: Partitions that a task of the second pass takes, counts that it holds to add up.
+TOGETHER, HELD = 4, 2_000_000
 
 #: What a byte is to the splitter: part of a word, a gap between words, an end of a piece.
 WORD, GAP, END = 0, 1, 2
@@ -179,14 +183,14 @@ def _passing(sketch: np.ndarray, h: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _counted(longest: int, cells: int, size: int, sketch):
-    """Per chunk: exact counts of n-grams that pass the sketch with all their parts, and of all words (size 0)."""
+    """Per chunk and size n: exact counts of n-grams that pass the sketch with all their parts, and of all words (size 0)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array, np.ndarray]]:
         marked = np.frombuffer(sketch.value, np.uint8).reshape(DEPTH, -1)
         for c in _chunks(batches, size):
             empty, word = c.hashes()
             v = len(c.words)
-            langs, sizes, phrases, counts = [], [0], [pa.array([b""], pa.large_binary())], [np.array([len(c.ids)], np.int64)]
+            yield c.lang, 0, pa.array([b""], pa.large_binary()), np.array([len(c.ids)], np.int64)
             # at[i]: number of the passing phrase of n words that begins at position i, or -1; h, parts: of these phrases
             keys, at = np.arange(1), np.zeros(len(c.ids) + 1, np.int64)
             h, parts = np.array([empty]), None
@@ -205,18 +209,51 @@ def _counted(longest: int, cells: int, size: int, sketch):
                 at[here] = number[inverse]
                 tail = c.words.take(pa.array(last))
                 parts = tail if n == 1 else pc.binary_join_element_wise(parts.take(pa.array(before)), tail, pa.scalar(b" ", pa.large_binary()))
-                phrases.append(parts)
-                counts.append(times)
-                sizes.append(n)
-            n = np.repeat(sizes, [len(p) for p in phrases]).astype(np.int32)
-            langs = pa.array([c.lang]).take(pa.array(np.zeros(len(n), np.int64)))
-            text = pa.concat_arrays(phrases).cast(pa.large_string()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([langs, pa.array(n), text, pa.array(np.concatenate(counts))], names=["lang", "words", "phrase", "f"])
+                yield c.lang, n, parts, times
 
     return run
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang", cells: int = CELLS, slices: int = SLICES, chunk: int = CHUNK) -> DataFrame:
+def _added_up(counts: Iterator[tuple[str, int, pa.Array, np.ndarray]], held: int) -> Iterator[pa.RecordBatch]:
+    """Counts of equal phrases of a task added up, as far as ``held`` of them reach, as rows."""
+    kept: dict[tuple[str, int], list[tuple[pa.Array, np.ndarray]]] = {}
+
+    def add(key: tuple[str, int]) -> int:
+        """Adds up what is kept of one language and size; the number of phrases."""
+        if len(kept[key]) > 1:
+            coded = pa.concat_arrays([p for p, _ in kept[key]]).dictionary_encode()
+            f = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(f, coded.indices.to_numpy(zero_copy_only=False), np.concatenate([f for _, f in kept[key]]))
+            kept[key] = [(coded.dictionary, f)]
+        return len(kept[key][0][1])
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for lang, n in list(kept):
+            add((lang, n))
+            [(phrases, f)] = kept.pop((lang, n))
+            for i in range(0, len(f), 20_000):
+                text = phrases.slice(i, 20_000).cast(pa.large_string()).cast(pa.string())
+                fixed = [pa.array([lang]), pa.array([n], pa.int32())]
+                fixed = [x.take(pa.array(np.zeros(len(text), np.int64))) for x in fixed]
+                yield pa.RecordBatch.from_arrays([*fixed, text, pa.array(f[i : i + 20_000])], names=["lang", "words", "phrase", "f"])
+
+    for lang, n, phrases, f in counts:
+        of = kept.setdefault((lang, n), [])
+        of.append((phrases, f))
+        if sum(len(x) for _, x in of[1:]) >= len(of[0][1]):  # so a count is added up few times
+            add((lang, n))
+        if sum(len(x) for o in kept.values() for _, x in o) >= held and sum(map(add, list(kept))) >= held / 2:
+            yield from sent()
+    yield from sent()
+
+
+def _fewer(df: DataFrame, together: int) -> DataFrame:
+    """``df`` with ``together`` partitions in one or more (fewer than twice as many), but no fewer than tasks run at once, and as many in each wave."""
+    at_once = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(at_once * max(1, df.rdd.getNumPartitions() // (together * at_once)))
+
+
+def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang", cells: int = CELLS, slices: int = SLICES, chunk: int = CHUNK, held: int = HELD) -> DataFrame:
     """lang, words, phrase, f: phrases of up to ``longest`` words with at least ``least`` occurrences in a language.
 
     A row with ``words`` 0 holds the number of all words of a language. Texts are lower-cased (A-Z), cut into pieces at
@@ -233,7 +270,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text_co
     for r in marks.collect():  # DEPTH x cells bits in all, whatever the input
         sketch[r["slice"] * (width // 8) : (r["slice"] + 1) * (width // 8)] = r["bits"]
     known = spark.sparkContext.broadcast(bytes(sketch))
-    counts = rows.mapInArrow(_counted(longest, cells, chunk, known), "lang string, words int, phrase string, f long")
+    counted = _counted(longest, cells, chunk, known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _added_up(counted(batches), held)
+
+    counts = _fewer(rows, TOGETHER).mapInArrow(run, "lang string, words int, phrase string, f long")
     return counts.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0) & (F.col("f") > 0))
 
 

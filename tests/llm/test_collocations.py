@@ -79,3 +79,39 @@ def test_packed_places():
     at, n = np.array([0, 5, 70_000, 262_143]), np.array([1, 255, 7, 1])
     back = C._unpacked(C._packed(at, n))
     assert back[0].tolist() == at.tolist() and back[1].tolist() == n.tolist()
+
+
+@pytest.mark.parametrize("held", [1, 50, 10**6])
+def test_a_task_adds_up_its_chunks(held):
+    """Counts of equal phrases leave a task once if it can hold them; whatever it holds, the sums are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, total, counts = random.Random(held), Counter(), []
+    for _ in range(40):
+        lang, rows = rng.choice(["en", "fr"]), {f"w{rng.randrange(60)}": rng.randrange(1, 9) for _ in range(30)}
+        total.update({(lang, 1, w): f for w, f in rows.items()})
+        counts.append((lang, 1, pa.array([w.encode() for w in rows], pa.large_binary()), np.array(list(rows.values()), np.int64)))
+    got, sent = Counter(), [r for b in C._added_up(iter(counts), held) for r in b.to_pylist()]
+    for r in sent:
+        got[r["lang"], r["words"], r["phrase"]] += r["f"]
+    assert got == total and len(sent) <= sum(len(f) for *_, f in counts) and (held < 10**6 or len(sent) == len(total))
+    assert list(C._added_up(iter([]), held)) == []
+
+
+def test_rows_of_the_second_pass_follow_the_phrases(spark, monkeypatch):
+    """Ten chunks a partition and many partitions: a phrase leaves each task once, not each chunk."""
+    rows, sent = texts(5, 800), spark.sparkContext.accumulator(0)
+    added = C._added_up
+
+    def told(counts, held):
+        for b in added(counts, held):
+            sent.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(C, "_added_up", told)
+    at_once = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(8 * at_once)
+    found = C.frequent_phrases(df, **(SMALL | {"chunk": 200}))
+    n = found.count()
+    assert n <= sent.value <= 2.2 * at_once * n
