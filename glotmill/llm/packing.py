@@ -13,7 +13,6 @@ pieces of those of all shards (a few for each task, as numbers) are dealt again
 from __future__ import annotations
 
 import hashlib
-import json
 import math
 import os
 import re
@@ -35,8 +34,8 @@ from glotmill.llm.pretokens import Memo
 CAPACITY, END_ID, SHARD = 2048, 1, 50_000
 #: Windows with more padding than this share of the capacity are packed again; sequences of that second time have this bit.
 SLACK, SECOND = 1 / 64, 1 << 62
-#: Words kept with their ids; texts and characters that are split at once (one text at least).
-MEMO, STEP, LETTERS = 1_200_000, 8000, 16 << 20
+#: Words kept with their ids, and as many from before; texts and characters that are split at once (one text at least).
+MEMO, STEP, LETTERS = 250_000, 1000, 4 << 20
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: A comma or full stop after anything but a letter or digit; it starts with the mark, which the search skips to.
 ODD = re.compile("[,.](?<![0-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff][,.])")
@@ -110,8 +109,8 @@ def piece_count(word: str) -> int:
 class WordTokens:
     """Ids of texts by a tokeniser that drops white space and never joins what it separates, a word at a time.
 
-    Distinct words are kept with their ids. New ones go to the library many at a time. Words whose number of pre-tokens
-    is certain are joined by spaces and come back as one run of ids: each pre-token ends with an entry that has the
+    Distinct words are kept with their ids; when the table is full, what is looked up again comes over to the next. New
+    ones go to the library many at a time. Words whose number of pre-tokens is certain are joined by spaces and come back as one run of ids: each pre-token ends with an entry that has the
     end-of-word mark, so that number tells where a word's ids end. All other words are entries of their own.
     """
 
@@ -122,13 +121,12 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_str(definition)
         # lower-case Latin-1 letters are in normal form and one pre-token, so these steps are left out for them
-        bare = json.loads(definition) | {"normalizer": None, "post_processor": None}
-        self.letters = Tokenizer.from_str(json.dumps(bare))
+        self.letters = Tokenizer(self.tokenizer.model)  # one model in memory
         self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
-        self.words = Memo(self.whole, MEMO)
+        self.words, self.former = Memo(self.whole, MEMO), {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -137,8 +135,12 @@ class WordTokens:
     def prepare(self, words: Collection[str]) -> None:
         fresh = [w for w in words if w not in self.words]
         if len(self.words) + len(fresh) > self.words.bound:
+            self.former = dict(self.words)
             self.words.clear()
             fresh = words
+        known = {w: self.former[w] for w in fresh if w in self.former}
+        self.words.update(known)
+        fresh = [w for w in fresh if w not in known]
         new = [(w, piece_count(w)) for w in fresh if len(w) <= self.words.longest]
         others = [w for w, n in new if not n]
         letters = [x for x in new if x[1] == 1 and x[0].isalpha()]
@@ -267,6 +269,13 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
             rest += zip(*[b.column(c).to_pylist() for c in out.names[:5]])
         yield table(list(packed(sorted(rest, key=str), sequence)))
 
+    def encoded(b: pa.RecordBatch, tokens: WordTokens) -> Iterator[tuple[int | None, bytes]]:
+        """Ids of documents and of their tokens; only so many texts are Python strings at once as a step takes."""
+        for at in range(0, len(b), STEP):
+            part = b.slice(at, STEP)
+            yield from zip(part.column(0).to_pylist(), tokens.encode_batch([t or "" for t in part.column(1).to_pylist()]))
+            pa.default_memory_pool().release_unused()  # else Arrow keeps what the steps and batches have used
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.sha256(sent.value.encode()).hexdigest()
         if name not in _TOKENS:
@@ -276,7 +285,7 @@ def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, e
 
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), tokens.encode_batch([t or "" for t in b.column(1).to_pylist()])):
+            for doc, ids in encoded(b, tokens):
                 ids += end
                 total = len(ids) // 4
                 for at in range(0, len(ids), full):

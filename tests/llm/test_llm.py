@@ -399,6 +399,26 @@ def test_repeated_words_are_looked_up_once(monkeypatch):
     assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode_batch(texts)] == ids
 
 
+def test_packing_holds_little_at_once():
+    """A batch of 10,000 texts is taken in small steps; words that come again stay known when the table is full."""
+    import tracemalloc
+
+    mine, told = packing.WordTokens(queries.definition("word_bpe_49k.json")), []
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    texts = [" ".join(words[(7 * i + j) % len(words)] for j in range(300)) for i in range(10_000)]
+    tracemalloc.start()
+    assert sum(map(len, mine.encode_batch(texts))) > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+
+    mine.words, joined = packing.Memo(mine.whole, 3), mine.joined
+    mine.joined = lambda certain, tokenizer: (told.extend(w for w, _ in certain), joined(certain, tokenizer))
+    for i in range(0, 20, 2):
+        mine.prepare(["often", words[i], words[i + 1]])
+    assert told.count("often") == 1 and len(mine.words) + len(mine.former) <= 6
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 5), max_size=8), st.integers(0, 40))
 def test_fill(counts, space):
