@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glotmill.llm.common import cut_lineage
 
 #: Cells of a sketch row (a power of two), rows, slices of a row, bytes of text in a chunk.
-CELLS, DEPTH, SLICES, CHUNK = 1 << 27, 2, 512, 12 << 20
+CELLS, DEPTH, SLICES, CHUNK = 1 << 27, 2, 512, 4 << 20
 #: Partitions that a task of the second pass takes, counts that it holds to add up.
 TOGETHER, HELD = 4, 2_000_000
 
@@ -65,7 +65,7 @@ class Chunk:
         before = np.concatenate([[False], inside[:-1]])[: len(text)]
         starts = np.flatnonzero(inside & (~before | fresh[:-1]))
         sizes = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-        self.piece = np.cumsum((kind == END) | fresh[:-1], dtype=np.int64)[starts]
+        self.piece = np.cumsum((kind == END) | fresh[:-1], dtype=np.int32)[starts]
         letters = _LOWER[text[inside]]
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
@@ -99,6 +99,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Chunk]:
             while at < len(texts):
                 until = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + size, "right")))
                 yield Chunk(lang, texts.slice(at, until - at))
+                pa.default_memory_pool().release_unused()  # else Arrow keeps what the chunks before have used
                 at = until
 
 
@@ -136,6 +137,7 @@ def _sketched(longest: int, cells: int, slices: int, size: int):
             if not every:
                 continue
             h, keys, data = np.concatenate(every), [], []
+            del c, phrase, word, every
             for row in range(DEPTH):
                 at = np.sort(_cells(h, row, cells))
                 new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
@@ -221,10 +223,11 @@ def _added_up(counts: Iterator[tuple[str, int, pa.Array, np.ndarray]], held: int
     def add(key: tuple[str, int]) -> int:
         """Adds up what is kept of one language and size; the number of phrases."""
         if len(kept[key]) > 1:
-            coded = pa.concat_arrays([p for p, _ in kept[key]]).dictionary_encode()
-            f = np.zeros(len(coded.dictionary), np.int64)
-            np.add.at(f, coded.indices.to_numpy(zero_copy_only=False), np.concatenate([f for _, f in kept[key]]))
-            kept[key] = [(coded.dictionary, f)]
+            coded = pa.chunked_array([p for p, _ in kept[key]]).dictionary_encode()
+            f = np.zeros(len(coded.chunk(0).dictionary), np.int64)
+            for c, (_, times) in zip(coded.chunks, kept[key], strict=True):
+                np.add.at(f, c.indices.to_numpy(zero_copy_only=False), times)
+            kept[key] = [(coded.chunk(0).dictionary, f)]
         return len(kept[key][0][1])
 
     def sent() -> Iterator[pa.RecordBatch]:
@@ -238,6 +241,8 @@ def _added_up(counts: Iterator[tuple[str, int, pa.Array, np.ndarray]], held: int
                 yield pa.RecordBatch.from_arrays([*fixed, text, pa.array(f[i : i + 20_000])], names=["lang", "words", "phrase", "f"])
 
     for lang, n, phrases, f in counts:
+        if not len(phrases):
+            continue
         of = kept.setdefault((lang, n), [])
         of.append((phrases, f))
         if sum(len(x) for _, x in of[1:]) >= len(of[0][1]):  # so a count is added up few times

@@ -115,3 +115,22 @@ def test_rows_of_the_second_pass_follow_the_phrases(spark, monkeypatch):
     found = C.frequent_phrases(df, **(SMALL | {"chunk": 200}))
     n = found.count()
     assert n <= sent.value <= 2.2 * at_once * n
+
+
+def test_a_chunk_takes_little_memory():
+    """Arrays of NumPy and Arrow for 12 MB of text, in both passes; nothing of Arrow's stays behind."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[(i * j) % 3000] for j in range(1, 251)) for i in range(9000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    sketch = SimpleNamespace(value=b"\xff" * (C.DEPTH * (1 << 20) // 8))
+    for run in (C._sketched(3, 1 << 20, 16, C.CHUNK), C._counted(3, 1 << 20, C.CHUNK, sketch)):
+        tracemalloc.start()
+        assert len([None for _ in run(iter([batch]))]) > 0
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 160 << 20
